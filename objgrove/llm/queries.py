@@ -36,6 +36,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op5_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from objgrove.llm.quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, and the one it would have were the last shard gone."""
     from objgrove.llm.sharding import SHARDS, place
@@ -44,9 +50,28 @@ def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(place(d, "doc_id"), "doc_id", SHARDS[:-1], to="shard_without_last")
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from objgrove.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from objgrove.llm.jaccard import similar_documents
+
+    return similar_documents(documents(spark, sf_dir))
+
+
+def op10_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts are the target, all documents the background."""
+    from objgrove.llm.lm_scoring import cross_entropy_difference
+
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_winnowing": op1_winnowing, "op2_media": op2_media, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op7_lookup_sharding": op7_lookup_sharding,
-}
+    f.__name__: f for f in (op1_winnowing, op2_media, op3_mixing, op4_packing, op5_neighbour_quality, op7_lookup_sharding, op8_compression_toxicity, op9_chosen_path_join, op10_entropy_difference)
+}
 
 
 def oracle() -> dict[str, str]:
