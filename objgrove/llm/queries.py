@@ -42,6 +42,12 @@ def op5_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from objgrove.llm.suffix import removals
+
+    return removals(documents(spark, sf_dir))
+
+
 def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, and the one it would have were the last shard gone."""
     from objgrove.llm.sharding import SHARDS, place
@@ -70,7 +76,7 @@ def op10_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_media, op3_mixing, op4_packing, op5_neighbour_quality, op7_lookup_sharding, op8_compression_toxicity, op9_chosen_path_join, op10_entropy_difference)
+    f.__name__: f for f in (op1_winnowing, op2_media, op3_mixing, op4_packing, op5_neighbour_quality, op6_run_index_dedup, op7_lookup_sharding, op8_compression_toxicity, op9_chosen_path_join, op10_entropy_difference)
 }
 
 
