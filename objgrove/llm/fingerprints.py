@@ -39,11 +39,13 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
         later = F.slice(a, s + 1, F.greatest(F.size(a) - s, F.lit(0)))
         return F.when(F.size(a) > s, let(later, lambda b: F.transform(b, lambda x, i: F.least(x, F.get(a, i))))).otherwise(F.array(F.array_min(a)))
 
+    def stepping(s: int):
+        return lambda a: step(a, s)  # a second parameter, even with a default, would be taken for an index
+
     out, size = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), grams)), 1
     while size < window:
-        s = min(size, window - size)
-        out = let(out, lambda a, s=s: step(a, s))
-        size += s
+        out = let(out, stepping(min(size, window - size)))
+        size += min(size, window - size)
     return F.array_distinct(F.filter(out, lambda x: x.isNotNull()))
 
 
