@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from objgrove import schema as S
 from objgrove.functions.objects import object_id
+from objgrove.lineage import cut
 
 WHO = "Grove <grove@example.org> 1700000000 +0000"
 CREATED = "2024-01-01 00:00:00"
@@ -50,12 +51,14 @@ def _trees(entries: DataFrame, keys: list[str], mode: str, name: str) -> DataFra
 
 def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     b = blobs(spark, sf_dir)
-    leaf = _trees(b.select("repo_id", "lang", "dir", "name", "oid"), ["repo_id", "lang", "dir"], "100644", "name")
+    # all higher levels and their unions read the leaves, so texts are hashed for them once
+    leaf = cut(_trees(b.select("repo_id", "lang", "dir", "name", "oid"), ["repo_id", "lang", "dir"], "100644", "name"))
     lang = _trees(leaf, ["repo_id", "lang"], S.SUBTREE_MODE, "dir")
     root = _trees(lang, ["repo_id"], S.SUBTREE_MODE, "lang")
     r = repos(spark, sf_dir).select(F.col("id").alias("repo_id"), F.col("name").alias("source"))
     text = F.concat(F.lit("tree "), "oid", F.lit(f"\nauthor {WHO}\ncommitter {WHO}\n\nsource "), "source", F.lit("\n"))
     commit = root.join(r, "repo_id").select("repo_id", text.cast("binary").alias("content")).withColumn("oid", object_id(F.lit("commit"), "content"))
+    commit = cut(commit)
     text = F.concat(F.lit("object "), "oid", F.lit(f"\ntype commit\ntag v1\ntagger {WHO}\n\nv1\n"))
     tag = commit.select("repo_id", text.cast("binary").alias("content")).withColumn("oid", object_id(F.lit("tag"), "content"))
     return {"blob": b, "leaf": leaf, "lang": lang, "root": root, "commit": commit, "tag": tag}
