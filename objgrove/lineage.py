@@ -22,7 +22,10 @@ def shared_root(spark: SparkSession) -> str:
         base = "file://" + _own[app]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    # a path without a scheme is on the default file system, which Python on executors has to be told
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
