@@ -29,7 +29,10 @@ def shared_root(spark: SparkSession) -> str:
         base = "file://" + _own[app]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    # a path without a scheme is on the default file system, which Python on executors has to be told
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -48,6 +51,21 @@ def stored(df: DataFrame, folder: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in a struct, so that no working column clashes with one, whatever its name."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

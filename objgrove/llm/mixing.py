@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import WORD, cut
+from objgrove.llm.common import WORD, cut, whole_row
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -145,8 +145,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     """The documents, each as often as the mix takes it, with their own columns."""
     rows = cut(table(docs, key, source, text))
     p, join = plan(rows)
-    own = docs.columns
-    d = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h"))
+    d = docs.select(whole_row(docs).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h"))
     d = join(d, p, ["source"])
     copies = F.col("base") + picked(F.col("size"), F.col("h")).cast("long")
     return d.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")

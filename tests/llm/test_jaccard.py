@@ -6,6 +6,8 @@ import random
 import re
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from objgrove.llm import jaccard
 
 
@@ -70,7 +72,7 @@ def test_edge_cases(spark):
 
 
 def test_null_id_and_one_of_each(spark):
-    df = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (5, "q r s", 3), (5, "q r s", 3)], "doc_id long, text string, `__set` int")
+    df = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (5, "q r s", 3), (5, "q r s", 3)], "doc_id long, text string, `__set` int").withColumn("a.b`c", F.lit(1))
     got = sorted(((r[0] is not None, r[0] or 0, r[1], r[2]) for r in jaccard.similar_documents(df).collect()))
     assert got == [(False, 0, None, 1), (True, 4, None, 1), (True, 5, 5, 1), (True, 5, 5, 1)]
     kept = jaccard.one_of_each(df)
