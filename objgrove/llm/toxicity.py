@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from objgrove.llm.common import whole_row
 from objgrove.llm.labelled import held_out, training_rows
 
 PER_CLASS = 2500
@@ -38,7 +39,7 @@ OWN_BYTES = 2048
 #: The share of toxic texts that must have a passage.
 SHARE = 0.02
 #: How much more often toxic texts must have a string, by how many deviations, and how often a text counts one at most.
-RATIO, DEVIATIONS, PER_TEXT = 5, 7, 8
+RATIO, DEVIATIONS, PER_TEXT = 6, 6, 3
 TOP = 4
 THRESHOLD = 0.5
 
@@ -54,9 +55,9 @@ class Model:
         import zstandard as z
 
         out = []
-        # the dictionaries are a few KB, so an exhaustive search for matches of 3 bytes is cheap
+        # the dictionaries are a few KB, so a thorough search for matches of 5 bytes is cheap
         params = z.ZstdCompressionParameters(
-            window_log=15, chain_log=13, hash_log=13, search_log=6, min_match=6, target_length=64, strategy=z.STRATEGY_LAZY2,
+            window_log=15, chain_log=13, hash_log=13, search_log=6, min_match=5, target_length=64, strategy=z.STRATEGY_LAZY2,
             format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         for data in (self.ordinary, self.toxic):
@@ -135,7 +136,7 @@ def train(rows: list[tuple[int, bytes]]) -> Model | None:
     """rows: (label, text), in a fixed order. Every second row of a class trains, the others calibrate."""
     import zstandard as z
 
-    by = {k: [t for label, t in rows if label == k] for k in (0, 1)}
+    by = {k: list(dict.fromkeys(t for label, t in rows if label == k)) for k in (0, 1)}
     if min(map(len, by.values())) < 4:
         return None
     learn, rest = {k: v[::2] for k, v in by.items()}, {k: v[1::2] for k, v in by.items()}
@@ -167,9 +168,9 @@ def train(rows: list[tuple[int, bytes]]) -> Model | None:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights, intercept first, with classes weighed alike."""
+    """Weights, intercept first; the classes weigh 2 to 1, as a lost ordinary document is the worse error."""
     x1 = np.column_stack([np.ones(len(x)), x])
-    c = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    c = np.where(y > 0, 1 / 3 / max(1, y.sum()), 2 / 3 / max(1, (1 - y).sum())) * len(y)
     w, r = np.zeros(x1.shape[1]), np.diag([0.0, *[ridge] * x.shape[1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -215,5 +216,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     model = learned(docs, labels)
-    d = scored(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col("text")), model).where(F.col("__score") < THRESHOLD)
+    d = scored(docs.select(whole_row(docs).alias("__row"), F.col("text")), model).where(F.col("__score") < THRESHOLD)
     return d.select("__row.*")
