@@ -28,6 +28,8 @@ from objgrove.llm.words import BASE, mix, words_of
 VOCABULARY = 1 << 18
 PAIRS = 1 << 22
 SLICE = 1 << 16
+#: Tasks whose counts are summed together.
+FAN_IN = 32
 #: Weights of the pair, the single word and the uniform part.
 SHARES = (0.6, 0.35, 0.05)
 START = np.uint64(0x51A7)
@@ -48,6 +50,9 @@ def counted(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray
     sizes = (VOCABULARY, VOCABULARY, PAIRS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() // FAN_IN
         totals = [np.zeros(n, np.int64) for n in sizes]
         waiting: list[list[np.ndarray]] = [[], [], []]
 
@@ -71,21 +76,28 @@ def counted(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray
             for at in range(0, len(total), SLICE):
                 part = total[at : at + SLICE]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at // SLICE], pa.int32()), pa.array([_packed(part)], pa.binary())], ["kind", "slice", "counts"])
+                    yield row(kind, at // SLICE, group, part)
+
+    def row(kind: int, at: int, group: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (kind, at, group)], pa.array([_packed(part)], pa.binary())], ["kind", "slice", "group", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
         for b in batches:
-            for kind, at, c in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                sums[kind, at] = sums.get((kind, at), 0) + _unpacked(c)
-        for (kind, at), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["kind", "slice", "counts"])
-
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "kind int, slice int, counts binary")
+            for kind, at, group, c in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                sums[kind, at, group] = sums.get((kind, at, group), 0) + _unpacked(c)
+        for (kind, at, group), total in sums.items():
+            yield row(kind, at, group // FAN_IN, total)
+
+    shape = "kind int, slice int, group int, counts binary"
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, shape)
+    # a slice's parts are summed FAN_IN tasks at a time, then those sums likewise, then what is left
+    for _ in range(2):
+        parts = parts.repartition("kind", "slice", "group").mapInArrow(add, shape)
     out = [np.zeros(n, np.int64) for n in sizes]
-    # as many rows as the arrays have slices
-    for r in parts.repartition("kind", "slice").mapInArrow(add, "kind int, slice int, counts binary").collect():
-        out[r["kind"]][r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+    # as many rows as the arrays have slices, for every FAN_IN ** 3 tasks
+    for r in parts.toLocalIterator():
+        out[r["kind"]][r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += _unpacked(r["counts"])
     return tuple(out)
 
 
