@@ -3,7 +3,7 @@
 Rows are sorted by their first DEPTH symbols at least, which is enough for patterns of up to DEPTH. A run keeps its
 symbol, its start, how many equal symbols come before it, and the text position of its last row. Windows of MATCH symbols
 are streamed through it from right to left: the rows that share a window's first MATCH - 1 symbols are one interval, and
-one backward step from it gives the interval of the next window, in two rank queries, however many rows it has.
+one backward step from it, to the nearest run of the next symbol, gives the next window's rows, however many there are.
 """
 
 from __future__ import annotations
@@ -17,23 +17,36 @@ END = 0  # ends every segment; bytes are stored one higher
 
 
 def rows_sorted(text: np.ndarray) -> np.ndarray:
-    """Text positions by their first DEPTH symbols."""
+    """Text positions by their first DEPTH symbols, by doubling; rows that are alone in their place are not sorted again."""
     n = len(text)
     key = np.zeros(n, np.int64)
     padded = np.concatenate([text.astype(np.int64), np.zeros(STEP, np.int64)])
     for i in range(STEP):
-        key = key * 257 + padded[i : i + n]
-    done = STEP
-    while True:
-        order = np.argsort(key, kind="quicksort")
-        if done >= DEPTH:
-            return order.astype(np.int32)
-        k = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]])
-        key = rank * (n + 1)
-        key[: n - done] += rank[done:]
+        key *= 257
+        key += padded[i : i + n]
+    order = np.argsort(key)
+    k = key[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    rank, done = np.zeros(n + DEPTH, np.int64), STEP  # a row's rank is the first row of its group, from 1 on
+    rank[order] = np.repeat(first, np.diff(np.r_[first, n])) + 1
+    slots = np.arange(n)
+    while done < DEPTH:
+        r = rank[order[slots]]
+        same = r[1:] == r[:-1]
+        slots = slots[np.r_[False, same] | np.r_[same, False]]
+        if not len(slots):
+            break
+        at = order[slots]
+        group, key = rank[at], rank[at] * (n + 2) + rank[at + done]
+        o = np.argsort(key)
+        at, key, group = at[o], key[o], group[o]
+        order[slots] = at
+        # the first slot of each new group names it
+        new = np.r_[True, key[1:] != key[:-1]]
+        ranks = slots[np.flatnonzero(new)][np.cumsum(new) - 1] + 1
+        rank[at] = ranks
         done *= 2
+    return order.astype(np.int32)
 
 
 class RunIndex:
@@ -44,87 +57,86 @@ class RunIndex:
         raw = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8).astype(np.uint16) + 1
         ends = np.cumsum(lengths + 1) - 1
         raw[ends] = END
-        self.text, self.n = raw, len(raw)
+        self.n = len(raw)
         order = rows_sorted(raw)
         last = raw[order - 1]  # the first position is preceded by the last symbol, an END
-        starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
-        self.starts, self.heads = starts.astype(np.int64), last[starts].astype(np.int64)
+        edge = np.r_[True, last[1:] != last[:-1]]
+        starts = np.flatnonzero(edge)
+        self.starts, self.heads = starts, last[starts].astype(np.int64)
         sizes = np.diff(np.r_[starts, self.n])
         #: sampled run ends: the text positions of the runs' last rows
         self.samples = order[starts + sizes - 1]
-        by = np.lexsort((np.arange(len(starts)), self.heads))
-        self.by_head = self.heads[by] * (len(starts) + 1) + by
-        total = np.cumsum(sizes[by])
-        self.before_total = np.r_[0, total]
-        first = np.searchsorted(self.heads[by], np.arange(258))
-        self.symbol_first = self.before_total[first]  # rows whose symbol is smaller: C of the transform
-        before = np.zeros(len(starts), np.int64)
-        before[by] = self.before_total[:-1] - self.symbol_first[self.heads[by]]
-        self.run_before = before
-        # intervals that share MATCH - 1 and MATCH symbols, and the smallest value of the latter
-        self.shorter = self._intervals(order, MATCH - 1)
-        self.full = self._intervals(order, MATCH)
-        owner = np.repeat(np.asarray(values), lengths + 1)
-        self.least = np.minimum.reduceat(owner[order], self.full)
-
-    def _intervals(self, order: np.ndarray, length: int) -> np.ndarray:
-        """The first rows of the intervals of rows that share so many symbols."""
-        from objgrove.llm.words import mix, prefix
-
-        sums, down = prefix(np.concatenate([self.text, np.zeros(length, self.text.dtype)]))
-        gram = mix((sums[length : length + self.n] - sums[: self.n]) * down[: self.n])[order]
-        return np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        #: runs by symbol, and how many rows of smaller symbols and of the same come before each
+        self.by = np.argsort(self.heads, kind="stable")
+        self.keys = self.heads[self.by] * (len(starts) + 1) + self.by
+        self.before = np.r_[0, np.cumsum(sizes[self.by])]
+        # an index is a bucket of a few MB, so rows look up their run and intervals in tables
+        self.run_of = (np.cumsum(edge) - 1).astype(np.int32)
+        gram = _grams(raw, MATCH - 1)[order]
+        edge = np.r_[True, gram[1:] != gram[:-1]]
+        self.shorter, self.shorter_of = np.r_[np.flatnonzero(edge), self.n], (np.cumsum(edge) - 1).astype(np.int32)
+        gram = gram[edge]
+        by = np.argsort(gram)
+        self.seeds, self.seed_at = gram[by], by
+        gram = _grams(raw, MATCH)[order]
+        edge = np.r_[True, gram[1:] != gram[:-1]]
+        self.full_of = (np.cumsum(edge) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(np.repeat(np.asarray(values), lengths + 1)[order], np.flatnonzero(edge))
 
     @property
     def runs(self) -> int:
         return len(self.starts)
 
-    def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """How many of the first `row` rows have the symbol before them."""
-        run = np.searchsorted(self.starts, row, "right") - 1
-        at = np.searchsorted(self.by_head, symbol * (self.runs + 1) + run)
-        count = self.before_total[at] - self.symbol_first[symbol]
-        return count + np.where(self.heads[run] == symbol, row - self.starts[run], 0)
-
-    def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of a symbol before an interval; empty intervals stay empty."""
-        base = self.symbol_first[symbol]
-        return base + self.rank(symbol, lo), base + self.rank(symbol, hi)
+    def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first row of a symbol before the interval of rows lo to hi, or -1 where none of them has it."""
+        run = self.run_of[lo].astype(np.int64)
+        at = np.searchsorted(self.keys, symbol * (self.runs + 1) + run)  # the symbol's first run from here on
+        own = self.heads[run] == symbol
+        head = np.minimum(at, self.runs - 1)
+        nearest = np.where(own, lo, self.starts[self.by[head]])
+        found = own | (at < self.runs) & (self.heads[self.by[head]] == symbol) & (nearest < hi)
+        return np.where(found, self.before[at] + np.where(own, lo - self.starts[run], 0), -1)
 
     def smallest(self, patterns: list[bytes], missing: int) -> np.ndarray:
         """The smallest value of the segments that have a window, for every window of every pattern, in order.
 
-        Streams matching statistics of all patterns at once, from their ends: an interval of MATCH - 1 symbols is widened
-        from the one of MATCH symbols that the last step found; a window that no segment has is searched for anew.
+        Streams matching statistics of all patterns at once, from their ends. A window that has no match leaves no
+        interval to go on from; the next one starts from the table of MATCH - 1 symbols, as a pattern's last window does.
         """
         lengths = np.array([len(p) for p in patterns], np.int64)
         windows = np.maximum(lengths - MATCH + 1, 0)
         first = np.cumsum(windows) - windows
         out = np.full(int(windows.sum()), missing, np.int64)
         text = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        if not windows.any():
+            return out
+        seeds = _grams(text, MATCH - 1)
         offset = np.cumsum(lengths) - lengths
         live = np.flatnonzero(windows)
         at = windows[live] - 1  # the window that each pattern is at
-        lo, hi = self._search(text, offset[live] + at)
+        group = self._seed(seeds[offset[live] + at + 1])
         while len(live):
-            found = hi > lo
-            group = np.searchsorted(self.full, lo[found], "right") - 1
-            out[first[live[found]] + at[found]] = self.least[group]
+            here = np.maximum(group, 0)
+            row = np.where(group < 0, -1, self.back(text[offset[live] + at], self.shorter[here], self.shorter[here + 1]))
+            hit = row >= 0
+            out[first[live[hit]] + at[hit]] = self.least[self.full_of[row[hit]]]
             more = at > 0
-            live, at, lo, hi, found = live[more], at[more] - 1, lo[more], hi[more], found[more]
-            if not len(live):
-                break
-            wide = np.searchsorted(self.shorter, lo, "right") - 1
-            lo2, hi2 = self.shorter[np.maximum(wide, 0)], np.r_[self.shorter[1:], self.n][np.maximum(wide, 0)]
-            lo, hi = self.back(text[offset[live] + at], lo2, hi2)
-            lost = np.flatnonzero(~found)
-            if len(lost):
-                lo[lost], hi[lost] = self._search(text, offset[live[lost]] + at[lost])
+            live, at, row = live[more], at[more] - 1, row[more]
+            group = self.shorter_of[np.maximum(row, 0)].astype(np.int64)
+            lost = np.flatnonzero(row < 0)
+            group[lost] = self._seed(seeds[offset[live[lost]] + at[lost] + 1])
         return out
 
-    def _search(self, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the windows that start there, by backward search."""
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
-        for i in range(MATCH - 1, -1, -1):
-            lo, hi = self.back(text[start + i], lo, np.maximum(lo, hi))
-        return lo, hi
+    def _seed(self, grams: np.ndarray) -> np.ndarray:
+        """The interval of MATCH - 1 symbols, or -1."""
+        at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
+        return np.where(self.seeds[at] == grams, self.seed_at[at], -1)
+
+
+def _grams(text: np.ndarray, length: int) -> np.ndarray:
+    """The hash of so many symbols from each position on, with ENDs after the text."""
+    from objgrove.llm.words import mix, prefix
+
+    n = len(text)
+    sums, down = prefix(np.concatenate([text, np.zeros(length, text.dtype)]))
+    return mix((sums[length : length + n] - sums[:n]) * down[:n])

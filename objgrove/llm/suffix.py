@@ -5,14 +5,14 @@ window of MATCH bytes has a minimizer, the smallest hash of its GRAM-byte string
 windows in a row that share one are a segment. Steps, each a job over the units (files) of a stored copy of the corpus:
 
 1. The minimizers' hashes are dealt by value, five bytes each, and those of two documents or more are told back to the
-   units as bits. Segments whose minimizer is in one document only have no match.
+   units that have them. Segments whose minimizer is in one document only have no match.
 2. The other segments, once a unit, go to buckets by minimizer. A bucket builds a run-length index of its segments, streams
    them through it, and gets for each window the smallest id that has it; bits say which windows an earlier id has.
 3. The units mark the bytes of those windows in their documents.
 
 A segment repeated within a unit is sent once, so a passage that a third of all documents share costs a row a unit. A
 minimizer with many documents in a unit is hot: its windows are sent one by one, dealt by their own hash. Ids are compared,
-never texts collected; the units and the bits are in the shared folder, so a lost executor costs its own tasks.
+never texts collected; the units and what they are told are in the shared folder, so a lost executor costs its own tasks.
 
 Defined cases: a null text is empty; texts of under MATCH bytes are kept; a null id is smaller than all others; rows with
 equal ids do not remove each other's bytes; an empty table gives an empty result; other columns are kept by deduplicated().
@@ -21,6 +21,7 @@ equal ids do not remove each other's bytes; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import cut, new_folder, open_fs
+from objgrove.llm.common import cut, new_folder, open_fs, quoted, removed, whole_row
 from objgrove.llm.run_index import MATCH, RunIndex
 from objgrove.llm.words import mix, prefix
 
@@ -36,7 +37,7 @@ GRAM = 20
 SPAN = MATCH - GRAM + 1
 UNIT_ROWS = 20_000
 #: Text bytes for a bucket of hashes and for one of segments; the most buckets.
-HASH_BUCKET, SEGMENT_BUCKET, MAX_BUCKETS = 24 << 20, 6 << 20, 65_536
+HASH_BUCKET, SEGMENT_BUCKET, MAX_BUCKETS = 24 << 20, 4 << 20, 65_536
 #: Documents of a unit that make a minimizer hot.
 HOT = 64
 ROW_BYTES = 4 << 20
@@ -103,8 +104,13 @@ class Corpus:
             for doc, text in zip(b.column("__id").to_pylist(), b.column("__text"), strict=True):
                 yield doc, text.as_py().encode("utf-8", "surrogatepass")
 
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Hashes as bucket and REST_BITS of the rest; two that share a code are only sent in vain."""
+        n = np.uint64(self.hash_buckets)
+        return (h % n) << np.uint64(REST_BITS) | (h // n) & np.uint64((1 << REST_BITS) - 1)
+
     def hashes(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct minimizers by bucket and value, 1: of two documents or more, 2: of HOT or more)."""
+        """(distinct codes of the unit's minimizers, 1: of two ids or more, 2: in HOT texts or more)."""
         ids, values = [], []
         for doc, raw in self.documents(unit):
             m = np.unique(segments(raw)[2])
@@ -112,12 +118,12 @@ class Corpus:
             ids.append(np.full(len(m), doc, np.int64))
         if not sum(map(len, values)):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        h, d = np.concatenate(values), np.concatenate(ids)
-        order = np.lexsort((d, h, h % np.uint64(self.hash_buckets)))
+        h, d = self.codes(np.concatenate(values)), np.concatenate(ids)
+        order = np.argsort(h)
         h, d = h[order], d[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        different = np.add.reduceat(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])].astype(np.int64), first)
-        return h[first], (different > 1).astype(np.uint64) | (different >= HOT).astype(np.uint64) << np.uint64(1)
+        several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        return h[first], several.astype(np.uint64) | (np.diff(np.r_[first, len(h)]) >= HOT).astype(np.uint64) << np.uint64(1)
 
     def table(self, name: str, unit: int) -> list[dict]:
         import pyarrow.parquet as pq
@@ -132,22 +138,17 @@ class Corpus:
         return out
 
     def told(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(repeated minimizers, hot ones among them), both sorted."""
-        h, _ = self.hashes(unit)
-        bounds = np.searchsorted(h % np.uint64(self.hash_buckets), np.arange(self.hash_buckets + 1, dtype=np.uint64))
-        flags = np.zeros((2, len(h)), bool)
-        for r in self.table("bits", unit):
-            lo, hi = bounds[r["p"]], bounds[r["p"] + 1]
-            for i, c in enumerate(("repeated", "hot")):
-                flags[i, lo:hi] = np.unpackbits(np.frombuffer(r[c], np.uint8), count=hi - lo).astype(bool)
-        return np.sort(h[flags[0]]), np.sort(h[flags[0] & flags[1]])
+        """(codes of repeated minimizers, of hot ones), both sorted."""
+        rows = self.table("told", unit)
+        return tuple(np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[c], np.uint64) for r in rows]])) for c in ("repeated", "hot"))
 
     def repeated(self, raw: bytes, told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, bucket) of the segments whose minimizer is repeated."""
         start, size, least = segments(raw)
-        use = _among(least, told[0])
-        start, size, least = start[use], size[use], least[use]
-        hot = _among(least, told[1])
+        codes = self.codes(least)
+        use = _among(codes, told[0])
+        start, size, least, codes = start[use], size[use], least[use], codes[use]
+        hot = _among(codes, told[1])
         if hot.any():
             n = np.where(hot, size, 1)
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -164,6 +165,17 @@ def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
+def _alike(distinct: list[bytes]) -> np.ndarray:
+    """Which segments share their minimizer, the smallest hash of their GRAM-byte strings, with another one."""
+    sizes = np.array([len(s) for s in distinct], np.int64)
+    ends = np.cumsum(sizes)
+    grams = np.concatenate([_grams(np.frombuffer(b"".join(distinct), np.uint8), GRAM), np.zeros(GRAM - 1, np.uint64)])
+    at = (ends[:, None] - np.arange(1, GRAM)).ravel()
+    grams[at] = np.iinfo(np.uint64).max  # they would run into the next segment
+    _, which, count = np.unique(np.minimum.reduceat(grams, ends - sizes), return_inverse=True, return_counts=True)
+    return count[which] > 1
+
+
 def _row(names: str, *values) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in names.split(", ")]
@@ -171,16 +183,15 @@ def _row(names: str, *values) -> pa.RecordBatch:
 
 
 def _repeated_hashes(spark, corpus: Corpus) -> None:
-    """Step 1: writes each unit's bits."""
+    """Step 1: writes which of its minimizers are repeated, and which are hot, for each unit."""
     shape = "p int, unit long, blob binary"
 
     def deal(batches):
         for b in batches:
             for unit in b.column(0).to_pylist():
                 h, flags = corpus.hashes(unit)
-                n = np.uint64(corpus.hash_buckets)
-                packed = ((h // n) & np.uint64((1 << REST_BITS) - 1)) << np.uint64(2) | flags
-                bounds = np.searchsorted(h % n, np.arange(corpus.hash_buckets + 1, dtype=np.uint64))
+                bounds = np.searchsorted(h >> np.uint64(REST_BITS), np.arange(corpus.hash_buckets + 1, dtype=np.uint64))
+                packed = (h & np.uint64((1 << REST_BITS) - 1)) << np.uint64(2) | flags
                 five = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 for p in np.flatnonzero(np.diff(bounds)):
                     yield _row(shape, int(p), unit, five[bounds[p] : bounds[p + 1]].tobytes())
@@ -194,17 +205,24 @@ def _repeated_hashes(spark, corpus: Corpus) -> None:
             wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
             parts.append(wide.view("<u8").ravel())
         x = np.concatenate(parts)
-        _, at, count = np.unique(x >> np.uint64(2), return_inverse=True, return_counts=True)
-        repeated, hot = count > 1, np.zeros(len(count), bool)
-        repeated[at[(x & np.uint64(1)) > 0]] = True
-        hot[at[(x & np.uint64(2)) > 0]] = True
-        ends = np.cumsum([len(a) for a in parts])
-        rows = [(u, p, np.packbits(repeated[at[e - len(a) : e]]).tobytes(), np.packbits(hot[at[e - len(a) : e]]).tobytes()) for u, p, a, e in zip(pdf["unit"], pdf["p"], parts, ends, strict=True)]
-        return pd.DataFrame(rows, columns=["unit", "p", "repeated", "hot"])
+        rest = x >> np.uint64(2)
+        order = np.argsort(rest)
+        r = rest[order]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        flags = np.bitwise_or.reduceat(x[order] & np.uint64(3), first)
+        repeated = r[first][(np.diff(np.r_[first, len(r)]) > 1) | (flags & np.uint64(1) > 0)]
+        hot = r[first][flags >= np.uint64(2)]
+        rows = []
+        for unit, p, own in zip(pdf["unit"], pdf["p"], parts, strict=True):
+            own = own >> np.uint64(2)
+            code = own | np.uint64(p) << np.uint64(REST_BITS)
+            use = _among(own, repeated)
+            rows.append((unit, code[use].tobytes(), code[use & _among(own, hot)].tobytes()))
+        return pd.DataFrame(rows, columns=["unit", "repeated", "hot"])
 
     dealt = corpus.units(spark).mapInArrow(deal, shape)
-    bits = dealt.groupBy("p").applyInPandas(tell, "unit long, p int, repeated binary, hot binary")
-    bits.repartition("unit").write.option("compression", "zstd").partitionBy("unit").parquet(f"{corpus.folder}/bits")
+    told = dealt.groupBy("p").applyInPandas(tell, "unit long, repeated binary, hot binary")
+    told.repartition("unit").write.option("compression", "zstd").partitionBy("unit").parquet(f"{corpus.folder}/told")
 
 
 def _matches(spark, corpus: Corpus) -> None:
@@ -214,7 +232,9 @@ def _matches(spark, corpus: Corpus) -> None:
     def send(batches):
         for b in batches:
             for unit in b.column(0).to_pylist():
-                for q, part, ids, sent in Sent(corpus, unit).parts():
+                whole = Sent(corpus, unit)
+                whole.keep()
+                for q, part, ids, sent in whole.parts():
                     yield _row(shape, q, unit, part, np.array(ids, np.int64).tobytes(), np.array([len(s) for s in sent], np.uint8).tobytes(), b"".join(sent))
 
     def match(pdf):
@@ -232,8 +252,13 @@ def _matches(spark, corpus: Corpus) -> None:
         np.minimum.at(least, which, doc)
         distinct = list(known)
         windows = np.array([len(s) - MATCH + 1 for s in distinct], np.int64)
-        smallest = RunIndex(distinct, least).smallest(distinct, np.iinfo(np.int64).max)
         first = np.cumsum(windows) - windows
+        smallest = np.repeat(least, windows)
+        # a segment that is alone with its minimizer shares no window with another; the index has all others
+        several = _alike(distinct)
+        if several.any():
+            some = [s for s, use in zip(distinct, several.tolist(), strict=True) if use]
+            smallest[np.repeat(several, windows)] = RunIndex(some, least[several]).smallest(some, np.iinfo(np.int64).max)
         n = windows[which]
         row = np.repeat(np.arange(len(which)), n)
         j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -249,21 +274,29 @@ def _matches(spark, corpus: Corpus) -> None:
 
 
 class Sent:
-    """A unit's distinct repeated segments in a fixed order, with the smallest id that each has in the unit."""
+    """A unit's distinct repeated segments in a fixed order, with the smallest id that each has in the unit.
+
+    `found` keeps, of each document in turn, its segments' first windows, sizes, buckets and places there.
+    """
 
     def __init__(self, corpus: Corpus, unit: int):
-        self.corpus, self.unit, self.told = corpus, unit, corpus.told(unit)
+        self.corpus, self.unit = corpus, unit
+        told = corpus.told(unit)
         self.place: list[dict[bytes, int]] = [{} for _ in range(corpus.segment_buckets)]
         self.ids: list[list[int]] = [[] for _ in range(corpus.segment_buckets)]
-        if len(self.told[0]):
-            for doc, raw in corpus.documents(unit):
-                for a, n, q in zip(*(x.tolist() for x in corpus.repeated(raw, self.told)), strict=True):
-                    s, place, ids = raw[a : a + n + MATCH - 1], self.place[q], self.ids[q]
-                    at = place.setdefault(s, len(ids))
-                    if at == len(ids):
-                        ids.append(doc)
-                    elif doc < ids[at]:
-                        ids[at] = doc
+        self.found: list[tuple[np.ndarray, ...]] = []
+        for doc, raw in corpus.documents(unit):
+            start, size, bucket = corpus.repeated(raw, told)
+            places = []
+            for a, z, q in zip(start.tolist(), (start + size + MATCH - 1).tolist(), bucket.tolist(), strict=True):
+                place, ids = self.place[q], self.ids[q]
+                at = place.setdefault(raw[a:z], len(ids))
+                if at == len(ids):
+                    ids.append(doc)
+                elif doc < ids[at]:
+                    ids[at] = doc
+                places.append(at)
+            self.found.append((start.astype(np.int32), size.astype(np.int8), bucket.astype(np.int32), np.array(places, np.int32)))
 
     def parts(self) -> Iterator[tuple[int, int, list[int], list[bytes]]]:
         for q, place in enumerate(self.place):
@@ -271,33 +304,60 @@ class Sent:
             for k in range(0, len(sent), step):
                 yield q, k // step, self.ids[q][k : k + step], sent[k : k + step]
 
-    def masks(self) -> list[np.ndarray]:
+    def keep(self) -> None:
+        """Writes what the last step needs to know of the segments; renamed when whole, so that attempts do not mix."""
+        n = np.array([len(f[0]) for f in self.found], np.int64)
+        columns = [np.concatenate([np.zeros(0, np.int32), *[f[i] for f in self.found]]) for i in range(4)]
+        base = np.cumsum([0, *[len(x) for x in self.ids]])
+        least = np.array([d for ids in self.ids for d in ids], np.int64)
+        table = pa.table({"name": ["rows", "start", "size", "bucket", "place", "base", "least"], "data": [x.tobytes() for x in (n, columns[0].astype(np.int32), columns[1].astype(np.int8), columns[2].astype(np.int32), columns[3].astype(np.int32), base, least)]})
+        import pyarrow.parquet as pq
+
+        system, path = open_fs(f"{self.corpus.folder}/found")
+        system.create_dir(path, recursive=True)
+        own = f"{path}/_{self.unit}-{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as f:
+            pq.write_table(table, f, compression="zstd")
+        system.move(own, f"{path}/{self.unit}.parquet")
+
+
+class Found:
+    """What keep() wrote of a unit, with the answers of step 2."""
+
+    def __init__(self, corpus: Corpus, unit: int):
+        import pyarrow.parquet as pq
+
+        system, path = open_fs(f"{corpus.folder}/found/{unit}.parquet")
+        with system.open_input_file(path) as f:
+            data = dict(zip(*[c.to_pylist() for c in pq.ParquetFile(f).read().columns], strict=True))
+        read = lambda name, kind: np.frombuffer(data[name], kind)
+        base, self.least = read("base", np.int64), read("least", np.int64)
+        self.first = np.r_[0, np.cumsum(read("rows", np.int64))]
+        self.start, self.size = read("start", np.int32), read("size", np.int8)
+        self.at = base[read("bucket", np.int32)] + read("place", np.int32)
         by: dict[int, list] = {}
-        for r in self.corpus.table("masks", self.unit):
+        for r in corpus.table("masks", unit):
             by.setdefault(r["q"], []).append((r["part"], np.frombuffer(r["masks"], np.uint32)))
-        return [np.concatenate([m for _, m in sorted(by[q], key=lambda x: x[0])]) if q in by else np.zeros(0, np.uint32) for q in range(self.corpus.segment_buckets)]
-
-    def removed(self) -> Iterator:
-        """A function of (id, bytes) to a boolean of every byte."""
-        masks = self.masks()
-
-        def mark(doc: int, raw: bytes) -> np.ndarray:
-            edge = np.zeros(len(raw) + 1, np.int64)
-            if len(self.told[0]) and len(raw) >= MATCH:
-                start, size, bucket = self.corpus.repeated(raw, self.told)
-                bits = np.zeros(len(start), np.int64)
-                for i, (a, n, q) in enumerate(zip(start.tolist(), size.tolist(), bucket.tolist(), strict=True)):
-                    at = self.place[q][raw[a : a + n + MATCH - 1]]
-                    # an earlier document of the unit has the whole segment
-                    bits[i] = (1 << n) - 1 if self.ids[q][at] < doc else masks[q][at]
-                row = np.repeat(np.arange(len(start)), size)
-                j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                hit = (start[row] + j)[(bits[row] >> j) & 1 > 0]
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + MATCH, -1)
-            return np.cumsum(edge)[:-1] > 0
-
-        return mark
+        masks = [np.concatenate([m for _, m in sorted(by[q], key=lambda x: x[0])]) for q in sorted(by)]
+        self.bits = np.concatenate([np.zeros(0, np.uint32), *masks]).astype(np.int64)
+
+    def mark(self, row: int, doc: int, length: int) -> np.ndarray:
+        """Which bytes of the unit's row go."""
+        part = slice(self.first[row], self.first[row + 1])
+        start, size, at = self.start[part].astype(np.int64), self.size[part].astype(np.int64), self.at[part]
+        # where an earlier document of the unit has the whole segment, all its windows go
+        hits = np.where(self.least[at] < doc, (1 << size) - 1, self.bits[at])
+        use = hits > 0
+        if not use.any():
+            return np.zeros(length, bool)
+        start, size, hits = start[use], size[use], hits[use]
+        j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        window = np.zeros(length + 1, np.int32)
+        window[(np.repeat(start, size) + j)[(np.repeat(hits, size) >> j) & 1 > 0] + 1] = 1
+        before = np.cumsum(window)  # of the windows that start before each byte
+        out = before[1:].copy()
+        out[MATCH:] -= before[1 : length - MATCH + 1]
+        return out > 0
 
 
 def _indexed(docs: DataFrame, key: str, text: str, extra: list) -> Corpus:
@@ -315,9 +375,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def read(batches):
         for b in batches:
             for unit in b.column(0).to_pylist():
-                mark, rows = Sent(corpus, unit).removed(), []
-                for doc, raw in corpus.documents(unit):
-                    gone = mark(doc, raw)
+                mark, rows = Found(corpus, unit).mark, []
+                for i, (doc, raw) in enumerate(corpus.documents(unit)):
+                    gone = mark(i, doc, len(raw))
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                     rows.append((None if doc == NULL_ID else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
@@ -325,7 +385,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return cut(corpus.units(spark).mapInArrow(read, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    out = cut(corpus.units(spark).mapInArrow(read, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    removed(spark, corpus.folder)
+    return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -334,22 +396,23 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars
     The column of character counts, where there is one, follows the text.
     """
     spark = docs.sparkSession
-    corpus = _indexed(docs, key, text, [F.struct(*[F.col(c) for c in docs.columns]).alias("__row")])
-    kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.lit("").alias("__kept"))
+    corpus = _indexed(docs, key, text, [whole_row(docs).alias("__row")])
+    kept = docs.select(whole_row(docs).alias("__row"), F.lit("").alias("__kept"))
 
     def read(batches):
         for b in batches:
             for unit in b.column(0).to_pylist():
-                mark = Sent(corpus, unit).removed()
+                mark, row = Found(corpus, unit).mark, 0
                 for rows in corpus.batches(unit):
                     out = []
                     for doc, t in zip(rows.column("__id").to_pylist(), rows.column("__text"), strict=True):
                         raw = t.as_py().encode("utf-8", "surrogatepass")
-                        gone = mark(doc, raw)
+                        gone = mark(row, doc, len(raw))
+                        row += 1
                         out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t.as_py())
                     yield pa.RecordBatch.from_arrays([rows.column("__row"), pa.array(out, pa.string())], ["__row", "__kept"])
 
     d = corpus.units(spark).mapInArrow(read, kept.schema)
     new = F.when(F.col(f"__row.{text}").isNotNull(), F.col("__kept"))
     values = {text: new} | ({chars: F.when(F.col("__kept") == F.col(f"__row.{text}"), F.col(f"__row.{chars}")).otherwise(F.char_length(new).cast(docs.schema[chars].dataType))} if chars in docs.columns else {})
-    return d.select(*[values.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return d.select(*[values.get(c, F.col(f"__row.{quoted(c)}")).alias(c) for c in docs.columns])
