@@ -4,7 +4,7 @@ Documents are sets of five-word shingles. Equal sets are joined at once by their
 distinct sets. Every set has SIGNATURE sampled tokens (the smallest shingle under as many orders). In each of RUNS runs,
 sets are split by their value at a chosen token, again and again: a node with more than LEAF sets chooses one or two
 tokens of its own (1 / THRESHOLD on average, so pairs at the threshold keep meeting) and deals its sets to children by
-their values. Sets in a small node are compared with each other by their signatures; of a node whose sets are all like
+their values, in steps of TOKENS tokens of which the first may be two. Sets in a small node are compared with each other by their signatures; of a node whose sets are all like
 its smallest one, comparing with that one is enough. Whatever is alike enough is linked into candidate clusters.
 
 An exact check follows: within a cluster every two sets are compared by their shingles, in blocks of BLOCK sets, so a pair
@@ -12,7 +12,7 @@ that no run has met counts as well if its cluster has other links. Blocks return
 never pairs. Classes are the components of the exact links.
 
 Recall is that of the runs: a pair at the threshold misses a node of the first level with 0.2 a run, so all runs with
-1e-8; nodes split further keep it less often. Tests hold the result against brute force.
+1e-7; nodes split further keep it less often. Tests hold the result against brute force.
 
 Defined cases: a null text is empty; texts without words are copies of each other; texts of under five words are one
 shingle; ties go to the smaller id; a null id is -2**63 inside and null in the result; repeated rows are copies, which
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import cut, new_folder, stored
+from objgrove.llm.common import cut, new_folder, removed, stored, whole_row
 from objgrove.llm.components import components
 from objgrove.llm.words import mix, shingles, words_of
 
@@ -39,7 +39,8 @@ OVER, UNDER = 4, 5
 SIGNATURE = 64
 RUNS = 10
 LEAF = 96
-DEPTH = 12
+#: Steps at most, and tokens that a step splits by.
+DEPTH, TOKENS = 6, 2
 #: Estimated similarity from which two sets become candidates: four deviations under the threshold.
 LIKELY = 0.6
 BLOCK = 256
@@ -95,10 +96,10 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
 
 
-def _children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the row, child) for one or two tokens that each node chooses."""
+def _children(nodes: np.ndarray, sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the row, child) for one token that each node chooses, or two where `most` is 2 and the node's hash says so."""
     rows, out = [], []
-    for i in range(2):
+    for i in range(most):
         h = mix(nodes + np.uint64(0x632BE59BD9B4E019) * np.uint64(i + 1))
         token = (h % np.uint64(SIGNATURE)).astype(np.int64)
         value = sigs[np.arange(len(nodes)), token].astype(np.uint64)
@@ -113,7 +114,11 @@ def _expand(nodes: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, child = _children(b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), _sigs(b.column("__sig")))
+            sigs, child = _sigs(b.column("__sig")), b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = np.arange(len(child))
+            for i in range(TOKENS):
+                rows, child = _children(child, sigs[at], 2 if i == 0 else 1)
+                at = at[rows]
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("__set").take(pa.array(at))], ["node", "__set"])
 
     return nodes.select("node", "__set", "__sig").mapInArrow(read, "node long, `__set` string")
@@ -154,10 +159,11 @@ def _compare(leaves: DataFrame) -> DataFrame:
     def node_edges(names: list[str], sigs: np.ndarray) -> list[tuple[str, str]]:
         if len(set(names)) < 2:
             return []
-        alike = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2) >= LIKELY
         forest = Forest(len(names))
-        for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
-            forest.link(int(a), int(b))
+        for lo in range(0, len(names), LEAF):
+            alike = (sigs[lo : lo + LEAF, None, :] == sigs[None, lo:, :]).mean(axis=2) >= LIKELY
+            for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+                forest.link(lo + int(a), lo + int(b))
         return [(names[a], names[b]) for a, b in forest.edges]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,34 +198,35 @@ def _pivots(big: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             like = (_sigs(b.column("__sig")) == _sigs(b.column("__pivot_sig"))).mean(axis=1) >= LIKELY
-            keep = [b.schema.names.index(c) for c in ("node", "__set", "__pivot")]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(like)], ["node", "__set", "__pivot", "like"])
+            keep = [b.schema.names.index(c) for c in ("node", "__set", "__sig", "__pivot")]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(like)], ["node", "__set", "__sig", "__pivot", "like"])
 
-    return big.select("node", "__set", "__sig", "__pivot", "__pivot_sig").mapInArrow(read, "node long, `__set` string, `__pivot` string, like boolean")
+    return big.select("node", "__set", "__sig", "__pivot", "__pivot_sig").mapInArrow(read, "node long, `__set` string, `__sig` binary, `__pivot` string, like boolean")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Distinct sets (__set, __sig) to edges (a, b) that span the candidate clusters."""
-    level, out, sigs = cut(_roots(sets)), [], sets.select("__set", "__sig")
+    level, out, leaves, sigs = cut(_roots(sets)), [], [], sets.select("__set", "__sig")
     for depth in range(DEPTH + 1):
         size = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = cut(level.join(size, "node"))
-        leaves = rows.where((F.col("size") <= LEAF) | F.lit(depth == DEPTH)).select("node", "__set").join(sigs, "__set")
-        # whole nodes to one task each: LEAF rows at most, but for nodes that DEPTH levels have not split
-        out.append(cut(_compare(leaves.repartition("node").sortWithinPartitions("node", "__set")).distinct()))
+        leaves.append(rows.where((F.col("size") <= LEAF) | F.lit(depth == DEPTH)).select("node", "__set"))
         big = rows.where(F.col("size") > LEAF).select("node", "__set")
         if depth == DEPTH or big.isEmpty():
             break
         first = big.groupBy("node").agg(F.min("__set").alias("__pivot"))
         first = first.join(sigs.withColumnsRenamed({"__set": "__pivot", "__sig": "__pivot_sig"}), "__pivot")
-        big = cut(big.join(sigs, "__set"))
-        told = cut(_pivots(big.join(first, "node")))
+        told = cut(_pivots(big.join(sigs, "__set").join(first, "node")))
         out.append(told.where("like and `__set` <> `__pivot`").select(F.col("__pivot").alias("a"), F.col("__set").alias("b")).distinct())
         mixed = told.groupBy("node").agg(F.min("like").alias("all")).where("not all").select("node")
-        level = cut(_expand(big.join(mixed, "node")))
-    edges = out[0]
-    for e in out[1:]:
-        edges = edges.unionByName(e)
+        level = cut(_expand(told.select("node", "__set", "__sig").join(mixed, "node")))
+    every = leaves[0]
+    for part in leaves[1:]:
+        every = every.unionByName(part)
+    # whole nodes to one task each: LEAF sets at most, but for nodes that DEPTH steps have not split
+    edges = _compare(every.join(sigs, "__set").repartition("node").sortWithinPartitions("node", "__set")).distinct()
+    for part in out:
+        edges = edges.unionByName(part)
     return edges
 
 
@@ -275,7 +282,7 @@ def _check(blocks: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (the class's smallest id), n_links (documents of 0.8 or more), class_set and __set of every row."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "jaccard")
+    folder = new_folder(docs.sparkSession, "jaccard")
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     rows = stored(with_sets(d), f"{folder}/rows")
     sets = rows.groupBy("__set").agg(F.min("__id").alias("first_id"), F.count("*").alias("copies"), F.first("__sig").alias("__sig"), F.first("__n").alias("__n"))
@@ -302,7 +309,9 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     per_set = per_set.join(first, "class_set").select("__set", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "keep")
     out = rows.select("__id", "__set").join(per_set, "__set")
     shown = lambda c: F.when(c != NULL_ID, c)
-    return out.select(shown(F.col("__id")).alias("doc_id"), shown(F.col("keep.first_id")).alias("class_id"), "n_links", "__set", F.col("keep.__set").alias("class_set"))
+    out = cut(out.select(shown(F.col("__id")).alias("doc_id"), shown(F.col("keep.first_id")).alias("class_id"), "n_links", "__set", F.col("keep.__set").alias("class_set")))
+    removed(docs.sparkSession, folder)
+    return out
 
 
 def _own(texts: DataFrame) -> DataFrame:
@@ -325,7 +334,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one row for each class, that of the smallest id, with their own columns."""
     keep = joined(docs, key, text).select(F.coalesce("class_id", F.lit(NULL_ID)).alias("k_id"), F.col("class_set").alias("k_set")).distinct()
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), whole_row(docs).alias("__row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     rows = with_sets(rows.join(keep.select("k_id").distinct(), F.col("__id") == F.col("k_id"), "left_semi"))
     rows = rows.join(keep, (F.col("__id") == F.col("k_id")) & (F.col("__set") == F.col("k_set")), "left_semi")
     return rows.groupBy("__id", "__set").agg(F.first("__row").alias("__row")).select("__row.*")
