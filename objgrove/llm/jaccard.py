@@ -4,7 +4,7 @@ Documents are sets of five-word shingles. Equal sets are joined at once by their
 distinct sets. Every set has SIGNATURE sampled tokens (the smallest shingle under as many orders). In each of RUNS runs,
 sets are split by their value at a chosen token, again and again: a node with more than LEAF sets chooses one or two
 tokens of its own (1 / THRESHOLD on average, so pairs at the threshold keep meeting) and deals its sets to children by
-their values, in steps of TOKENS tokens of which the first may be two. Sets in a small node are compared with each other by their signatures; of a node whose sets are all like
+their values, in steps of TOKENS tokens. Sets in a small node are compared with each other by their signatures; of a node whose sets are all like
 its smallest one, comparing with that one is enough. Whatever is alike enough is linked into candidate clusters.
 
 An exact check follows: within a cluster every two sets are compared by their shingles, in blocks of BLOCK sets, so a pair
@@ -116,8 +116,8 @@ def _expand(nodes: DataFrame) -> DataFrame:
         for b in batches:
             sigs, child = _sigs(b.column("__sig")), b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             at = np.arange(len(child))
-            for i in range(TOKENS):
-                rows, child = _children(child, sigs[at], 2 if i == 0 else 1)
+            for _ in range(TOKENS):
+                rows, child = _children(child, sigs[at], 2)
                 at = at[rows]
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("__set").take(pa.array(at))], ["node", "__set"])
 
