@@ -84,3 +84,19 @@ def test_entropy_difference(spark):
     assert got[0]["score"] < got[4]["score"]
     assert lm_scoring.cross_entropy_difference(docs.limit(0), goal.limit(0)).collect() == []
     assert lm_scoring.cross_entropy_difference(docs.withColumn("n_tokens", F.lit(1)), goal.limit(0)).count() == 6
+
+
+def test_entropy_counts_are_exact_in_a_wide_corpus(spark, monkeypatch):
+    """More words and pairs than any fixed table of 2^18 and 2^22 keeps apart: nothing unseen looks seen."""
+    monkeypatch.setattr(lm_scoring, "ENTRIES", 1 << 20, raising=False)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda i: F.concat(F.lit("w"), i.cast("string")))).alias("text"))
+    goal = spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, goal).where("doc_id in (0, 7)").collect()}
+    pair, one, flat = lm_scoring.SHARES
+    loss = lambda pairs, words: -math.log(pair * pairs + one * words + flat / lm_scoring.VOCABULARY)
+    # every word occurs once, and a document's first one after the start of one text in 6000
+    background = (999 * loss(1, 1 / 6e6) + loss(1 / 6000, 1 / 6e6)) / 1000
+    assert got[7]["n_tokens"] == 1000
+    assert np.allclose([got[i]["background_loss"] for i in (0, 7)], background, atol=1e-6)
+    assert np.isclose(got[7]["target_loss"], loss(0, 0), atol=1e-6)
+    assert np.isclose(got[0]["target_loss"], (3 * loss(1, 1 / 3) + 997 * loss(0, 0)) / 1000, atol=1e-6)
