@@ -197,6 +197,8 @@ def external_bases(pack: bytes) -> list[str]:
     return sorted(set(bases) - own)
 
 
+#: Bytes of one of a repository's several packs.
+PACK_BYTES = 16 << 20
 PARSED = "repo_id long, ordinal long, type short, oid string, size int, content binary, error string"
 
 
@@ -250,3 +252,36 @@ def packed(objects: DataFrame) -> DataFrame:
     size = F.unhex(F.lpad(F.hex(F.size("e")), 8, "0"))
     body = F.concat(F.lit(bytearray(b"PACK\0\0\0\2")), size, F.aggregate("e", F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["entry"])))
     return packs.select("repo_id", body.alias("b")).select("repo_id", F.concat("b", F.unhex(F.sha1("b"))).alias("pack"))
+
+
+def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
+    """(repo_id, oid, type, content) to packs (repo_id, pack) of about `limit` bytes, or of one object where that is larger.
+
+    Tasks take ranges of (repository, id) and close a pack at the limit or the repository's end, so a repository of any
+    size is whole in several packs, and a task holds one at a time.
+    """
+
+    def pack(entries: list[bytes]) -> bytes:
+        data = b"".join([b"PACK", struct.pack(">II", 2, len(entries)), *entries])
+        return data + hashlib.sha1(data).digest()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, entries, size = None, [], 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([repo], pa.int64()), pa.array([pack(entries)], pa.binary())], ["repo_id", "pack"])
+
+        for b in batches:
+            for r, code, content in zip(b.column("repo_id").to_pylist(), b.column("type").to_pylist(), b.column("content"), strict=True):
+                content = content.as_py()
+                entry = write_header(code, len(content)) + zlib.compress(content)
+                if entries and (r != repo or size + len(entry) > limit):
+                    yield closed()
+                    entries, size = [], 0
+                repo, size = r, size + len(entry)
+                entries.append(entry)
+        if entries:
+            yield closed()
+
+    dealt = objects.select("repo_id", "oid", "type", "content").repartitionByRange("repo_id", "oid").sortWithinPartitions("repo_id", "oid")
+    return dealt.mapInArrow(write, "repo_id long, pack binary")

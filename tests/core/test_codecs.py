@@ -207,3 +207,24 @@ def test_packs_as_tables(spark):
     p = spark.createDataFrame([(bytearray(b"0006hi0000000"),), (bytearray(b"zzzz"),)], "d binary").select(wire.packets_column(F.col("d")).alias("p")).collect()
     assert [x["kind"] for x in p[0]["p"]["packets"]] == ["data", "flush"] and bytes(p[0]["p"]["rest"]) == b"000" and p[1]["p"]["error"]
     assert spark.range(1).select(O.repo_path(F.lit("/a/b.git/info/refs")), O.repo_path(F.lit("/x/y"))).first() == ("a/b.git", "")
+
+
+def test_a_repository_in_several_packs(spark):
+    rng = random.Random(3)
+    rows = [(repo, S.BLOB, bytearray(rng.randbytes(n))) for repo in (1, 2) for n in [1000] * 40 + [9000, 0]]
+    df = spark.createDataFrame(rows, "repo_id long, type short, content binary").withColumn("oid", O.object_id(O.type_name("type"), "content"))
+    made = packs.packed_in_parts(df, 5000).collect()
+    assert len(made) >= 16 and all(len(r["pack"]) < 5100 or len(packs.read_pack(bytes(r["pack"]))) == 1 for r in made)
+    back = [(r["repo_id"], S.BLOB, c) for r in made for _, c in packs.read_pack(bytes(r["pack"]))]
+    assert sorted(back) == sorted((repo, code, bytes(c)) for repo, code, c in rows)
+
+
+def test_round_trip_has_blobs(spark, sf, monkeypatch):
+    from objgrove.plans import catalog, corpus
+
+    read, back = packs.parsed, []
+    monkeypatch.setattr(packs, "parsed", lambda *a: back.append(read(*a)) or back[0])
+    rows = catalog.pack_round_trip(spark, sf).collect()
+    ids = lambda df: sorted(tuple(r) for r in df.select("repo_id", "type", "oid", "content").collect())
+    assert ids(back[0]) == ids(corpus.objects(spark, sf)) and back[0].where(f"type = {S.BLOB}").count()
+    assert {r["type"] for r in rows} == {"commit", "tree", "tag"}
