@@ -16,18 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     components' size. Lineage is cut each round.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = cut(e), None
-    while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u")
-        small = small.select(F.greatest("v", "m").alias("u2"), F.col("m").alias("v2"), "u")
-        linked = small.select(F.col("u2").alias("u"), F.col("v2").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
-        e = cut(linked.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    e = cut(e)
+    state = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, now = None, state()
+    while now != before and now[0]:
+        low = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+        low = low.select(F.col("u").alias("at"), F.least("m", "u").alias("m"))
+        large = e.join(low, e["v"] == low["at"]).select("u", F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, state()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

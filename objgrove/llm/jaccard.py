@@ -1,27 +1,34 @@
 """N-gram Jaccard join by chosen paths.
 
 Documents are sets of five-word shingles. Equal sets are joined at once by their digest; the rest of the join is over
-distinct sets. Every set has SIGNATURE sampled tokens (the smallest shingle under as many orders). In each of RUNS runs,
-sets are split by their value at a chosen token, again and again: a node with more than LEAF sets chooses one or two
-tokens of its own (1 / THRESHOLD on average, so pairs at the threshold keep meeting) and deals its sets to children by
-their values, in steps of TOKENS tokens. Sets in a small node are compared with each other by their signatures; of a node whose sets are all like
-its smallest one, comparing with that one is enough. Whatever is alike enough is linked into candidate clusters.
+distinct sets. Every set has a root in each of RUNS runs (its smallest shingle under the run's order) and SIGNATURE sampled
+tokens. A run's root is a node: all sets that share it. A node is split, again and again, by the value at a token that the
+node chooses, and with a chance by a second one (BRANCH tokens on average); a node of few pairs is compared by brute
+force. A node first compares its sets with one of them, its pivot; what is alike enough is linked into candidate clusters,
+and pairs within a cluster need no comparison. A node of up to GROUP sets is split inside one task. Larger ones are
+split by joins, a level at a time, until none is left; there, sets that are like the pivot by DROP leave the node, since
+whatever is like them by 1 + LIKELY - DROP in the samples is like the pivot by LIKELY and linked to it as well.
 
-An exact check follows: within a cluster every two sets are compared by their shingles, in blocks of BLOCK sets, so a pair
-that no run has met counts as well if its cluster has other links. Blocks return numbers of links and a spanning forest,
-never pairs. Classes are the components of the exact links.
+Runs repeat until the target: two sets at the threshold share a root with that chance, and stay together in some branch with
+the branching process' chance of survival, however deep a node is split, so RUNS follows from RECALL.
 
-Recall is that of the runs: a pair at the threshold misses a node of the first level with 0.2 a run, so all runs with
-1e-7; nodes split further keep it less often. Tests hold the result against brute force.
+An exact check follows: within a cluster every two sets are compared by their shingles, in blocks of BLOCK sets or
+BLOCK_SHINGLES shingles, so a pair that no run has met counts as well if its cluster has other links. Blocks return numbers
+of links and a spanning forest, never pairs. Classes are the components of the exact links.
+
+The documents are stored once, in files (units); a text is read again from its unit when its cluster is checked, so texts
+of documents that are like no other are never shuffled.
 
 Defined cases: a null text is empty; texts without words are copies of each other; texts of under five words are one
 shingle; ties go to the smaller id; a null id is -2**63 inside and null in the result; repeated rows are copies, which
-link to each other; an empty table gives an empty result; other columns are ignored.
+link to each other; an empty table gives an empty result; other columns are ignored, and kept by one_of_each().
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import cut, new_folder, removed, stored, whole_row
+from objgrove.llm.common import cut, new_folder, open_fs, quoted, removed, stored
 from objgrove.llm.components import components
 from objgrove.llm.words import mix, shingles, words_of
 
@@ -37,30 +44,54 @@ K = 5
 #: The similarity as a fraction, so that it is compared in whole numbers.
 OVER, UNDER = 4, 5
 SIGNATURE = 64
-RUNS = 10
-LEAF = 96
-#: Steps at most, and tokens that a step splits by.
-DEPTH, TOKENS = 6, 2
 #: Estimated similarity from which two sets become candidates: four deviations under the threshold.
 LIKELY = 0.6
-BLOCK = 256
+#: Tokens that a node is split by, on average: less alike sets are parted faster than nodes multiply.
+BRANCH = 1 / LIKELY
+#: The least chance that two sets at the threshold meet.
+RECALL = 0.9995
+#: Pairs of a node that are compared by brute force, and sets of a node that one task splits.
+PAIRS, GROUP = 1 << 16, 1 << 15
+#: How alike a pivot a set of a larger node must be to leave it.
+DROP = 0.85
+#: Sets and shingles of a block of the exact check.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 NULL_ID = -(2**63)
 
+
+def survival(similarity: float, branch: float = BRANCH) -> float:
+    """The chance that two sets of a node still share one of its descendants, at any depth."""
+    lost = 0.0
+    for _ in range(1000):
+        kept = similarity * (1 - lost)
+        lost = (1 - kept) * (1 - (branch - 1) * kept)
+    return 1 - lost
+
+
+def runs_for(recall: float) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - OVER / UNDER * survival(OVER / UNDER)))
+
+
+RUNS = runs_for(RECALL)
+
 _rng = np.random.default_rng(20_240_101)
 _A = _rng.integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
 
 
-def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """Of each set, the upper half of the smallest value under every order; zeros for an empty set."""
-    out = np.zeros((len(sets), SIGNATURE), np.uint32)
+def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(roots, tokens): 64 bits of the smallest shingle under each run's order, 16 bits under every order; zeros if empty."""
+    roots, tokens = np.zeros((len(sets), RUNS), np.uint64), np.zeros((len(sets), SIGNATURE), np.uint16)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         x = np.concatenate([sets[i] for i in full])
         starts = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
         for j in range(SIGNATURE):
-            out[full, j] = np.minimum.reduceat(((x ^ _B[j]) * _A[j]) >> np.uint64(32), starts).astype(np.uint32)
-    return out
+            least = mix(np.minimum.reduceat((x ^ _B[j]) * _A[j], starts))
+            tokens[full, j] = (least >> np.uint64(48)).astype(np.uint16)
+            if j < RUNS:
+                roots[full, j] = mix(least ^ np.uint64(j + 1))
+    return roots, tokens
 
 
 def _texts(column) -> list[bytes]:
@@ -73,166 +104,240 @@ def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield shingles(hashes[a:b], K)
 
 
-def digest(s: np.ndarray) -> str:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
-
-
-def with_sets(docs: DataFrame, text: str = "__text") -> DataFrame:
-    """docs with the columns __set (digest), __n (shingles) and __sig in place of the text."""
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.names.index(text)
-            keep = [i for i in range(b.num_columns) if i != at]
-            sets = list(sets_of(_texts(b.column(at))))
-            own = [pa.array([digest(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signature(sets)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *own], [*[b.schema.names[i] for i in keep], "__set", "__n", "__sig"])
 
-    schema = docs.drop(text).withColumns({"__set": F.lit(""), "__n": F.lit(0).cast("long"), "__sig": F.lit(b"")}).schema
-    return docs.mapInArrow(read, schema)
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys (numbers), which come one after another, as a table each."""
+    held = None
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            change = np.zeros(t.num_rows - 1, bool)
+            for k in keys:
+                v = t.column(k).to_numpy()
+                change |= v[1:] != v[:-1]
+            at = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                yield t.slice(lo, hi - lo)
+            held = t.slice(at[-1])
+    if held is not None:
+        yield held
+
+
+class Units:
+    """The stored documents: a unit is the file that one task wrote."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, folder: str, rest: bool):
+        d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), *([F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text]).alias("__rest")] if rest else []))
+        own = {"__unit": F.lit(0), "__at": F.lit(0).cast("long"), "__set": F.lit(b""), "__n": F.lit(0).cast("long"), "__sig": F.lit(b""), "__roots": F.array().cast("array<bigint>")}
+        added = list(own)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            unit, at = TaskContext.get().partitionId(), 0
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    b = whole.slice(lo, 500)
+                    sets = list(sets_of(_texts(b.column(1))))
+                    roots, tokens = signature(sets)
+                    roots = pa.ListArray.from_arrays(pa.array(np.arange(0, RUNS * len(sets) + 1, RUNS), pa.int32()), pa.array(roots.view(np.int64).ravel()))
+                    columns = [
+                        pa.array(np.full(len(sets), unit, np.int32)), pa.array(np.arange(at, at + len(sets))), pa.array([digest(s) for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in tokens], pa.binary()), roots,
+                    ]
+                    at += len(sets)
+                    yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *added])
+
+        self.schema, self.folder = d.schema, f"{folder}/units"
+        self.rows = stored(d.mapInArrow(read, d.withColumns(own).schema), self.folder)
+
+        from pyarrow import fs
+
+        system, path = open_fs(self.folder)
+        names = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
+        # files are named by the number of the task that wrote them
+        self.paths = {int(re.search(r"part-(\d+)-", x.rsplit("/", 1)[1])[1]): x for x in names}
+
+    def __getstate__(self) -> dict:
+        """What readers on executors need."""
+        return {"folder": self.folder, "paths": self.paths}
+
+    def batches(self, unit: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        if unit in self.paths:
+            system, _ = open_fs(self.folder)
+            with system.open_input_file(self.paths[unit]) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=1000, columns=columns)
+
+    def told(self, wanted: DataFrame, read, schema) -> DataFrame:
+        """read(unit, rows of wanted with this __unit, by __at) for each unit that wanted names."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in grouped(batches, ["__unit"]):
+                yield from read(t.column("__unit")[0].as_py(), t)
+
+        return wanted.repartition("__unit").sortWithinPartitions("__unit", "__at").mapInArrow(each, schema)
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-
-
-def _children(nodes: np.ndarray, sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the row, child) for one token that each node chooses, or two where `most` is 2 and the node's hash says so."""
-    rows, out = [], []
-    for i in range(most):
-        h = mix(nodes + np.uint64(0x632BE59BD9B4E019) * np.uint64(i + 1))
-        token = (h % np.uint64(SIGNATURE)).astype(np.int64)
-        value = sigs[np.arange(len(nodes)), token].astype(np.uint64)
-        at = np.arange(len(nodes)) if i == 0 else np.flatnonzero((h >> np.uint64(32)) < np.uint64((2**32) * (UNDER - OVER) // OVER))
-        rows.append(at)
-        out.append(mix(mix(nodes[at] ^ mix(token[at].astype(np.uint64) + np.uint64(1))) ^ value[at]))
-    return np.concatenate(rows), np.concatenate(out)
-
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIGNATURE)
 
-def _expand(nodes: DataFrame) -> DataFrame:
-    """(node, __set, __sig) to the children's (node, __set)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs, child = _sigs(b.column("__sig")), b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            at = np.arange(len(child))
-            for _ in range(TOKENS):
-                rows, child = _children(child, sigs[at], 2)
-                at = at[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("__set").take(pa.array(at))], ["node", "__set"])
 
-    return nodes.select("node", "__set", "__sig").mapInArrow(read, "node long, `__set` string")
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many sampled tokens each of a has in common with each of b."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    out, at, bt = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for x, y in zip(at, bt, strict=True):
+        out += x[:, None] == y
+    return out
 
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """Each run's first level: run r splits by token r."""
+def _choice(nodes: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the i-th token that each node chooses, whether it is used)."""
+    h = mix(nodes + np.uint64(0x632BE59BD9B4E019) * np.uint64(i + 1))
+    return (h % np.uint64(SIGNATURE)).astype(np.int64), (h >> np.uint64(32)) < np.uint64(int(2**32 * (BRANCH - 1)) if i else 2**32)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs = _sigs(b.column("__sig"))
-            for r in range(RUNS):
-                child = mix(mix(np.uint64(r + 1) * np.ones(len(sigs), np.uint64)) ^ sigs[:, r].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("__set")], ["node", "__set"])
 
-    return sets.select("__set", "__sig").mapInArrow(read, "node long, `__set` string")
+def _child(nodes: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(nodes ^ mix(token.astype(np.uint64) + np.uint64(1))) ^ value.astype(np.uint64))
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
+def _joined(label: np.ndarray, groups: list[np.ndarray]) -> None:
+    """Gives the labels of each group one label, the smallest, everywhere."""
+    up: dict[int, int] = {}
 
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = a = self.up[self.up[a]]
+    def find(a: int) -> int:
+        while up.get(a, a) != a:
+            up[a] = a = up.get(up[a], up[a])
         return a
 
-    def link(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
-
-
-def _compare(leaves: DataFrame) -> DataFrame:
-    """(node, __set, __sig), a node's rows one after another, to candidate edges that span each node's clusters."""
-
-    def node_edges(names: list[str], sigs: np.ndarray) -> list[tuple[str, str]]:
-        if len(set(names)) < 2:
-            return []
-        forest = Forest(len(names))
-        for lo in range(0, len(names), LEAF):
-            alike = (sigs[lo : lo + LEAF, None, :] == sigs[None, lo:, :]).mean(axis=2) >= LIKELY
-            for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
-                forest.link(lo + int(a), lo + int(b))
-        return [(names[a], names[b]) for a, b in forest.edges]
+    for g in groups:
+        roots = sorted({find(a) for a in g.tolist()})
+        for r in roots[1:]:
+            up[r] = roots[0]
+    if up:
+        old = np.array(sorted(up))
+        new = np.array([find(a) for a in old.tolist()])
+        at = np.minimum(np.searchsorted(old, label), len(old) - 1)
+        label[:] = np.where(old[at] == label, new[at], label)
+
+
+def linked(sigs: np.ndarray, node: int) -> np.ndarray:
+    """A node's sets' labels: those that chosen paths link have the same one, the index of their first set."""
+    label, need = np.arange(len(sigs)), LIKELY * SIGNATURE
+    todo = [(np.arange(len(sigs)), np.array([node], np.uint64))]
+    while todo:
+        at, node = todo.pop()
+        for step in ("pivot", "pairs"):
+            kinds, which, count = np.unique(label[at], return_inverse=True, return_counts=True)
+            crossing = (len(at) ** 2 - (count**2).sum()) // 2
+            if step == "pivot" and crossing > PAIRS:
+                pivot = int(mix(node)[0] % np.uint64(len(at)))
+                like = _agree(sigs[at[pivot : pivot + 1]], sigs[at])[0] >= need
+                _joined(label, [np.unique(label[at[like]])])
+        if not crossing:
+            continue
+        if crossing <= PAIRS:  # pairs within the largest cluster need no comparison
+            rest, groups = np.flatnonzero(which != count.argmax()), []
+            for lo in range(0, len(rest), 128):
+                part = rest[lo : lo + 128]
+                a, b = np.nonzero(_agree(sigs[at[part]], sigs[at]) >= need)
+                pairs = np.unique(np.sort(np.column_stack([label[at[part[a]]], label[at[b]]]), axis=1), axis=0)
+                groups += list(pairs[pairs[:, 0] != pairs[:, 1]])
+            _joined(label, groups)
+            continue
+        for i in (0, 1):
+            (token,), (used,) = _choice(node, i)
+            if used:
+                order = np.argsort(sigs[at, token], kind="stable")
+                value = sigs[at[order], token]
+                for g in np.split(at[order], np.flatnonzero(value[1:] != value[:-1]) + 1):
+                    if len(g) > 1:
+                        todo.append((np.sort(g), _child(node, np.array([token]), sigs[g[:1], token])))
+    return label
+
+
+def _split(nodes: DataFrame) -> DataFrame:
+    """(node, handle, __sig), whole nodes of up to GROUP sets each to one task, to edges (a, b): stars of a task's clusters."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # rows of the node that the next batch may go on with
-        for b in _with_end(batches):
-            nodes, names, sigs = ([], [], np.zeros((0, SIGNATURE), np.uint32)) if b is None else (b.column("node").to_pylist(), b.column("__set").to_pylist(), _sigs(b.column("__sig")))
-            if held:
-                nodes, names, sigs = held[0] + nodes, held[1] + names, np.concatenate([held[2], sigs])
-            found, starts = [], [i for i in range(len(nodes)) if i == 0 or nodes[i] != nodes[i - 1]] + [len(nodes)]
-            last = len(starts) - 1 if b is None else len(starts) - 2
-            for a, z in zip(starts[:last], starts[1 : last + 1], strict=True):
-                if z - a > 1:
-                    found += node_edges(names[a:z], sigs[a:z])
-            cut_at = starts[last] if last >= 0 else 0
-            held = [nodes[cut_at:], names[cut_at:], sigs[cut_at:]] if b is not None else []
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])
-
-    return leaves.select("node", "__set", "__sig").mapInArrow(read, "a string, b string")
-
-
-def _with_end(batches):
-    for b in batches:
-        if b.num_rows:
-            yield b
-    yield None
-
-
-def _pivots(big: DataFrame) -> DataFrame:
-    """Large nodes' rows (node, __set, __sig, __pivot, pivot's signature) with whether they are like the pivot."""
+        up: dict[int, int] = {}
+
+        def find(a: int) -> int:
+            while up.setdefault(a, a) != a:
+                up[a] = a = up[up[a]]
+            return a
+
+        for t in grouped(batches, ["node"]):
+            sigs = _sigs(t.column("__sig"))
+            if len(sigs) == 2:
+                if (sigs[0] == sigs[1]).sum() < LIKELY * SIGNATURE:
+                    continue
+                label = np.zeros(2, int)
+            else:
+                label = linked(sigs, t.column("node")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+            names = t.column("handle").to_numpy()
+            for i in np.flatnonzero(label != np.arange(len(label))).tolist():
+                a, b = find(int(names[i])), find(int(names[label[i]]))
+                up[max(a, b)] = min(a, b)
+        stars = [(a, find(a)) for a in list(up) if find(a) != a]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in stars], pa.int64()), pa.array([x[1] for x in stars], pa.int64())], ["a", "b"])
+
+    return nodes.select("node", "handle", "__sig").repartition("node").sortWithinPartitions("node").mapInArrow(read, "a long, b long")
+
+
+def _level(big: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, handle) of nodes beyond GROUP to (links to their pivots, their children's (node, handle))."""
+    pivot = big.groupBy("node").agg(F.min_by("handle", F.xxhash64("handle", "node")).alias("pivot"))
+    pivot = pivot.join(sets.select(F.col("handle").alias("pivot"), F.col("__sig").alias("pivot_sig")), "pivot")
+    rows = big.join(sets.select("handle", "__sig"), "handle").join(pivot, "node").select("node", "handle", "__sig", "pivot", "pivot_sig")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            like = (_sigs(b.column("__sig")) == _sigs(b.column("__pivot_sig"))).mean(axis=1) >= LIKELY
-            keep = [b.schema.names.index(c) for c in ("node", "__set", "__sig", "__pivot")]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(like)], ["node", "__set", "__sig", "__pivot", "like"])
+            sigs, nodes, names = _sigs(b.column("__sig")), b.column("node").to_numpy().view(np.uint64), b.column("handle")
+            like = (sigs == _sigs(b.column("pivot_sig"))).sum(axis=1)
+            link = np.flatnonzero(like >= LIKELY * SIGNATURE)
+            yield pa.RecordBatch.from_arrays([b.column("pivot").take(pa.array(link)), names.take(pa.array(link)), pa.array(np.ones(len(link), bool))], ["node", "handle", "link"])
+            stay = np.flatnonzero(like < DROP * SIGNATURE)
+            for i in (0, 1):
+                token, used = _choice(nodes[stay], i)
+                at = stay[used]
+                child = _child(nodes[at], token[used], sigs[at, token[used]])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), names.take(pa.array(at)), pa.array(np.zeros(len(at), bool))], ["node", "handle", "link"])
 
-    return big.select("node", "__set", "__sig", "__pivot", "__pivot_sig").mapInArrow(read, "node long, `__set` string, `__sig` binary, `__pivot` string, like boolean")
+    out = cut(rows.mapInArrow(read, "node long, handle long, link boolean"))
+    return out.where("link and node <> handle").select(F.col("node").alias("a"), F.col("handle").alias("b")), out.where("not link").select("node", "handle")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct sets (__set, __sig) to edges (a, b) that span the candidate clusters."""
-    level, out, leaves, sigs = cut(_roots(sets)), [], [], sets.select("__set", "__sig")
-    for depth in range(DEPTH + 1):
+    """Distinct sets (handle, __sig, __roots) to edges (a, b) that span the candidate clusters."""
+    level, small, edges = sets.select("handle", F.explode("__roots").alias("node")), None, None
+    while True:
         size = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = cut(level.join(size, "node"))
-        leaves.append(rows.where((F.col("size") <= LEAF) | F.lit(depth == DEPTH)).select("node", "__set"))
-        big = rows.where(F.col("size") > LEAF).select("node", "__set")
-        if depth == DEPTH or big.isEmpty():
+        rows = cut(level.join(size, "node").select("node", "handle", "size"))
+        part = rows.where(F.col("size") <= GROUP).select("node", "handle")
+        small = part if small is None else small.unionByName(part)
+        big = rows.where(F.col("size") > GROUP).select("node", "handle")
+        if big.isEmpty():
             break
-        first = big.groupBy("node").agg(F.min("__set").alias("__pivot"))
-        first = first.join(sigs.withColumnsRenamed({"__set": "__pivot", "__sig": "__pivot_sig"}), "__pivot")
-        told = cut(_pivots(big.join(sigs, "__set").join(first, "node")))
-        out.append(told.where("like and `__set` <> `__pivot`").select(F.col("__pivot").alias("a"), F.col("__set").alias("b")).distinct())
-        mixed = told.groupBy("node").agg(F.min("like").alias("all")).where("not all").select("node")
-        level = cut(_expand(told.select("node", "__set", "__sig").join(mixed, "node")))
-    every = leaves[0]
-    for part in leaves[1:]:
-        every = every.unionByName(part)
-    # whole nodes to one task each: LEAF sets at most, but for nodes that DEPTH steps have not split
-    edges = _compare(every.join(sigs, "__set").repartition("node").sortWithinPartitions("node", "__set")).distinct()
-    for part in out:
-        edges = edges.unionByName(part)
-    return edges
+        links, level = _level(big, sets)
+        edges = links if edges is None else edges.unionByName(links)
+    out = _split(small.join(sets.select("handle", "__sig"), "handle"))
+    return out if edges is None else out.unionByName(edges)
 
 
 def _similar(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Which sets of x have 4/5 of the shingles of both in common with which of y, exactly."""
     nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    if len(x) * len(y) <= 16:
+        inter = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in y] for a in x])
+        return UNDER * inter >= OVER * (nx[:, None] + ny[None, :] - inter)
     allx, ally = np.concatenate(x), np.concatenate(y)
     common = np.intersect1d(allx, ally)
     shared = np.zeros((len(x), len(y)), np.float32)
@@ -251,90 +356,128 @@ def _similar(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return UNDER * inter >= OVER * (nx[:, None] + ny[None, :] - inter)
 
 
-def _check(blocks: DataFrame) -> DataFrame:
-    """(pair of blocks, side, __set, copies, text) to (a, b, links): numbers of linked documents, or forest edges."""
-
-    def read(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["side", "__set"], kind="stable")
-        sets = list(sets_of([t.encode("utf-8", "surrogatepass") for t in pdf["text"]]))
-        names, copies, side = pdf["__set"].tolist(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        like = _similar([sets[i] for i in left], [sets[i] for i in right])
-        if right is left:
-            np.fill_diagonal(like, False)
-        links = dict.fromkeys(range(len(names)), 0)
-        for i, n in zip(left, like @ copies[right], strict=True):
-            links[i] += int(n)
-        if right is not left:
-            for i, n in zip(right, like.T @ copies[left], strict=True):
-                links[i] += int(n)
-        forest = Forest(len(names))
-        for a, b in zip(*np.nonzero(like), strict=True):
-            forest.link(int(left[a]), int(right[b]))
-        out = [(names[i], None, n) for i, n in links.items() if n] + [(names[a], names[b], 0) for a, b in forest.edges]
-        return pd.DataFrame(out, columns=["a", "b", "links"])
-
-    return blocks.groupBy("cluster", "i", "j").applyInPandas(read, "a string, b string, links long")
-
-
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the class's smallest id), n_links (documents of 0.8 or more), class_set and __set of every row."""
-    folder = new_folder(docs.sparkSession, "jaccard")
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = stored(with_sets(d), f"{folder}/rows")
-    sets = rows.groupBy("__set").agg(F.min("__id").alias("first_id"), F.count("*").alias("copies"), F.first("__sig").alias("__sig"), F.first("__n").alias("__n"))
-    sets = stored(sets, f"{folder}/sets")
-    clusters = components(candidates(sets.where("`__n` > 0")))
-    members = clusters.withColumnsRenamed({"node": "__set", "component": "cluster"})
-    size = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    # a cluster's sets in blocks of about BLOCK, by digest; a set goes to the pairs of its block with every other block
-    members = members.join(size, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("__set"), F.col("blocks")).cast("int"))
-    members = members.join(sets.select("__set", "first_id", "copies"), "__set")
-    members = cut(members)
-    texts = d.join(members.select("__set", F.col("first_id").alias("__id")), "__id").select("__id", F.col("__set").alias("want"), "__text")
-    texts = _own(texts)
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
-    sent = members.join(texts, "__set").select("cluster", "__set", "copies", "text", F.explode(to).alias("to")).select("cluster", "to.i", "to.j", "to.side", "__set", "copies", "text")
-    found = cut(_check(sent))
-    links = found.where("b is null").groupBy(F.col("a").alias("__set")).agg(F.sum("links").alias("linked"))
-    classes = components(found.where("b is not null").select("a", "b"))
-    classes = classes.withColumnsRenamed({"node": "__set", "component": "class_set"})
-    per_set = sets.select("__set", "first_id", "copies").join(classes, "__set", "left").join(links, "__set", "left")
-    per_set = per_set.withColumn("class_set", F.coalesce("class_set", "__set"))
-    first = per_set.groupBy("class_set").agg(F.min(F.struct("first_id", "__set")).alias("keep"))
-    per_set = per_set.join(first, "class_set").select("__set", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "keep")
-    out = rows.select("__id", "__set").join(per_set, "__set")
-    shown = lambda c: F.when(c != NULL_ID, c)
-    out = cut(out.select(shown(F.col("__id")).alias("doc_id"), shown(F.col("keep.first_id")).alias("class_id"), "n_links", "__set", F.col("keep.__set").alias("class_set")))
-    removed(docs.sparkSession, folder)
-    return out
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """(each one's smallest fellow, spanning edges) of the components of links between n things."""
+    up, edges = list(range(n)), []
 
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
 
-def _own(texts: DataFrame) -> DataFrame:
-    """(want, __text) to one (__set, text) for each wanted set whose text this is (ids may repeat with other texts)."""
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            edges.append((i, j))
+    return [find(i) for i in range(n)], edges
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = _texts(b.column("__text"))
-            want = b.column("want").to_pylist()
-            ok = [i for i, s in enumerate(sets_of(raw)) if digest(s) == want[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in ok], pa.string()), b.column("__text").take(pa.array(ok, pa.int64()))], ["__set", "text"])
 
-    return texts.select("want", "__text").mapInArrow(read, "`__set` string, text string").groupBy("__set").agg(F.min("text").alias("text"))
+def _check(blocks: DataFrame) -> DataFrame:
+    """Texts of pairs of blocks to (a, b, links): a set's number of linked documents, or a set with its class or a link.
+
+    `whole` says that the cluster is one block, so b is a's class, the smallest set; otherwise a and b are an edge.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["cluster", "i", "j"]):
+            sets = list(sets_of(_texts(t.column("text"))))
+            names, copies, side = t.column("__set").to_pylist(), t.column("copies").to_numpy(), t.column("side").to_numpy()
+            whole = t.column("blocks")[0].as_py() == 1
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if (side == 1).any() else left
+            links = np.zeros(len(names), np.int64)
+            if len(left):
+                like = _similar([sets[i] for i in left], [sets[i] for i in right])
+                if right is left:
+                    np.fill_diagonal(like, False)
+                links[left] += like @ copies[right]
+                if right is not left:
+                    links[right] += like.T @ copies[left]
+                a, b = np.nonzero(like)
+                root, edges = _spanning(len(names), left[a], right[b])
+            else:
+                root, edges = list(range(len(names))), []
+            out = [(names[i], names[r], int(n)) for i, (r, n) in enumerate(zip(root, links, strict=True))] if whole else [(names[i], None, int(n)) for i, n in enumerate(links) if n] + [(names[i], names[j], 0) for i, j in edges]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array([whole] * len(out), pa.bool_())], ["a", "b", "links", "whole"])
+
+    dealt = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "__set")
+    return dealt.mapInArrow(read, "a binary, b binary, links long, whole boolean")
+
+
+def _classified(units: Units, folder: str) -> DataFrame:
+    """__unit, __at, __id, n_links and keep (the class's first document: id, unit, at) of every row."""
+    spark = units.rows.sparkSession
+    sets = units.rows.groupBy("__set").agg(F.min(F.struct("__id", "__unit", "__at")).alias("first"), F.count("*").alias("copies"), F.first("__n").alias("__n"), F.first("__sig").alias("__sig"), F.first("__roots").alias("__roots"))
+    # a number of 64 bits stands for a set among candidates; two sets that share one would only be checked in vain
+    handle = F.conv(F.substring(F.hex("__set"), 1, 15), 16, 10).cast("long")
+    sets = stored(sets.withColumn("handle", handle), f"{folder}/sets")
+    clusters = components(candidates(sets.where("`__n` > 0")))
+    clusters = clusters.withColumnsRenamed({"node": "handle", "component": "cluster"})
+    members = clusters.join(sets.select("handle", "__set", "first", "copies", "__n"), "handle")
+    members = stored(members, f"{folder}/members")
+    # a cluster's sets in blocks, by digest; a set goes to the pairs of its block with every block
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("__n") / BLOCK_SHINGLES)).cast("int")
+    wanted = members.join(members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("size")).where("size > 1"), "cluster")
+    wanted = wanted.select(F.col("first.__unit").alias("__unit"), F.col("first.__at").alias("__at"), "cluster", "blocks", "__set", "copies")
+    schema = wanted.drop("__unit", "__at").withColumn("text", F.lit("").cast("string")).schema
+    names = schema.names[:-1]
+
+    def texts(unit: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, lo = rows.column("__at").to_numpy(), 0
+        for b in units.batches(unit, ["__at", "__text"]):
+            here = b.column(0).to_numpy()
+            hi = int(np.searchsorted(at, here[-1], side="right"))
+            if hi > lo:
+                found = b.column(1).take(pa.array(at[lo:hi] - here[0]))
+                own = rows.slice(lo, hi - lo).select(names).append_column("text", found)
+                yield from own.combine_chunks().to_batches()
+                lo = hi
+
+    block = F.pmod(F.xxhash64("__set"), F.col("blocks")).cast("int")
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
+    sent = units.told(wanted, texts, schema).withColumn("block", block)
+    sent = sent.select("cluster", "blocks", "__set", "copies", "text", F.explode(to).alias("to")).select("cluster", "blocks", "to.i", "to.j", "to.side", "__set", "copies", "text")
+    found = stored(_check(sent), f"{folder}/found")
+    facts = found.select(F.col("a").alias("__set"), "links", F.when(F.col("whole"), F.col("b")).alias("class_set"))
+    edges = found.where("not whole and b is not null").select("a", "b")
+    if not edges.isEmpty():
+        classes = components(edges)
+        facts = facts.unionByName(classes.select(F.col("node").alias("__set"), F.lit(0).cast("long").alias("links"), F.col("component").alias("class_set")))
+    facts = facts.groupBy("__set").agg(F.sum("links").alias("linked"), F.min("class_set").alias("class_set"))
+    facts = facts.join(members.select("__set", "first"), "__set").withColumn("class_set", F.coalesce("class_set", "__set"))
+    firsts = facts.groupBy("class_set").agg(F.min("first").alias("class_first"))
+    facts = stored(facts.join(firsts, "class_set").select("__set", "linked", "class_first"), f"{folder}/facts")
+    per_set = sets.select("__set", "first", "copies").join(facts, "__set", "left")
+    per_set = per_set.select("__set", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_first", "first").alias("keep"))
+    out = units.rows.select("__unit", "__at", "__id", "__set").join(per_set, "__set").drop("__set")
+    return stored(out, new_folder(spark, "classified"))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return joined(docs, key, text).select("doc_id", "class_id", "n_links")
+    """doc_id, class_id (the class's smallest id) and n_links (documents of 0.8 or more) of every row."""
+    folder = new_folder(docs.sparkSession, "jaccard")
+    rows = _classified(Units(docs, key, text, folder, False), folder)
+    removed(docs.sparkSession, folder)
+    shown = lambda c: F.when(c != NULL_ID, c)
+    return rows.select(shown(F.col("__id")).alias("doc_id"), shown(F.col("keep.__id")).alias("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one row for each class, that of the smallest id, with their own columns."""
-    keep = joined(docs, key, text).select(F.coalesce("class_id", F.lit(NULL_ID)).alias("k_id"), F.col("class_set").alias("k_set")).distinct()
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("__id"), whole_row(docs).alias("__row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = with_sets(rows.join(keep.select("k_id").distinct(), F.col("__id") == F.col("k_id"), "left_semi"))
-    rows = rows.join(keep, (F.col("__id") == F.col("k_id")) & (F.col("__set") == F.col("k_set")), "left_semi")
-    return rows.groupBy("__id", "__set").agg(F.first("__row").alias("__row")).select("__row.*")
+    folder = new_folder(docs.sparkSession, "jaccard")
+    units = Units(docs, key, text, folder, True)
+    rows = _classified(units, folder)
+    gone = rows.where((F.col("__unit") != F.col("keep.__unit")) | (F.col("__at") != F.col("keep.__at"))).select("__unit", "__at")
+    every = docs.sparkSession.createDataFrame([(u, -1) for u in sorted(units.paths)], "`__unit` int, `__at` long")
+    kept, names = units.schema, units.schema.names
+
+    def read(unit: int, told: pa.Table) -> Iterator[pa.RecordBatch]:
+        drop = told.column("__at").to_numpy()
+        for b in units.batches(unit, ["__at", *names]):
+            stay = pa.array(~np.isin(b.column(0).to_numpy(), drop))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(stay) for c in names], names)
+
+    d = units.told(every.unionByName(gone), read, kept)
+    return d.select(*[(F.col("__text") if c == text else F.col(f"__rest.{quoted(c)}")).alias(c) for c in docs.columns])

@@ -6,6 +6,8 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from objgrove.llm import jaccard
@@ -48,11 +50,8 @@ def test_documents_against_brute_force(spark):
     assert sorted(tuple(r) for r in jaccard.similar_documents(d).collect()) == brute(rows)
 
 
-def test_near_copies_in_large_nodes(spark, monkeypatch):
-    """Small limits make every level and the blocks of clusters work."""
-    monkeypatch.setattr(jaccard, "LEAF", 6)
-    monkeypatch.setattr(jaccard, "BLOCK", 10)
-    rng = random.Random(5)
+def families(rng):
+    """Near copies of one text, and texts that share a third with it."""
     base = [str(rng.randrange(10**6)) for _ in range(120)]
     rows = []
     for i in range(90):
@@ -62,9 +61,46 @@ def test_near_copies_in_large_nodes(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(base[:40] + [str(rng.randrange(10**6)) for _ in range(80)])) for i in range(60)]
     rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("group", [6, jaccard.GROUP])
+def test_near_copies_in_large_nodes(spark, monkeypatch, group):
+    """Small limits: nodes are split by joins, a level at a time, and clusters have several blocks."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    rows = families(random.Random(5))
     assert result(spark, rows) == brute(rows)
 
 
+def test_recall_of_large_nodes(monkeypatch):
+    """Pairs at the threshold, in nodes that a shared passage makes far larger than brute force takes."""
+    monkeypatch.setattr(jaccard, "PAIRS", 2000)
+    rng = np.random.default_rng(3)
+    passage, sets, pairs = rng.integers(0, 2**63, 300, dtype=np.uint64), [], 1000
+    for _ in range(pairs):
+        own = rng.integers(0, 2**63, 150, dtype=np.uint64)
+        # 399 of 498 shingles in common, then 0.8 and a little more
+        for _ in range(2):
+            sets.append(np.unique(np.concatenate([passage, own[:100], rng.integers(0, 2**63, 49, dtype=np.uint64)])))
+    roots, tokens = jaccard.signature(sets)
+    met, steps = np.zeros(pairs, bool), []
+    for r in range(jaccard.RUNS):
+        for node in np.unique(roots[:, r]):
+            at = np.flatnonzero(roots[:, r] == node)
+            steps.append(len(at))
+            label = np.full(len(sets), -1)
+            label[at] = jaccard.linked(tokens[at], int(node))
+            met |= (label[::2] >= 0) & (label[::2] == label[1::2])
+    assert max(steps) > 500
+    assert met.mean() >= 0.995
+
+
+def test_runs_follow_the_target():
+    assert jaccard.runs_for(0.9) < jaccard.runs_for(0.99) < jaccard.runs_for(0.9999)
+    assert (1 - 0.8 * jaccard.survival(0.8)) ** jaccard.RUNS <= 1 - jaccard.RECALL
+
+
 def test_edge_cases(spark):
     rows = [(3, ""), (2, None), (9, "a b"), (7, "a b"), (7, "a b"), (5, "x " * 3000), (6, " \n"), (1, "a"), (8, "y z " * 2000)]
     assert result(spark, rows) == brute(rows)
