@@ -2,7 +2,8 @@
 
 A run-length index over the whole corpus would be one machine's, so the corpus is cut so that no match is lost. Every
 window of MATCH bytes has a minimizer, the smallest hash of its GRAM-byte strings; equal windows have equal minimizers, and
-windows in a row that share one are a segment. Steps, each a job over the units (files) of a stored copy of the corpus:
+windows in a row that share one are a segment. Steps, each a job over the units (row groups of files, so bounded in rows
+and in bytes) of a stored copy of the corpus:
 
 1. The minimizers' hashes are dealt by value, five bytes each, and those of two documents or more are told back to the
    units that have them. Segments whose minimizer is in one document only have no match.
@@ -35,14 +36,17 @@ from objgrove.llm.words import mix, prefix
 
 GRAM = 20
 SPAN = MATCH - GRAM + 1
-UNIT_ROWS = 20_000
-#: Text bytes for a bucket of hashes and for one of segments; the most buckets.
-HASH_BUCKET, SEGMENT_BUCKET, MAX_BUCKETS = 24 << 20, 4 << 20, 65_536
+#: Rows of a file and bytes of a unit, about.
+UNIT_ROWS, UNIT_BYTES = 20_000, 64 << 20
+#: Text bytes for a bucket of hashes and for one of segments; buckets are as many as the corpus needs.
+HASH_BUCKET, SEGMENT_BUCKET = 24 << 20, 4 << 20
 #: Documents of a unit that make a minimizer hot.
 HOT = 64
 ROW_BYTES = 4 << 20
 NULL_ID = -(2**63)
 REST_BITS = 38
+#: A unit's number has its file's above that of its row group; a file has UNIT_ROWS row groups at most.
+GROUP_BITS = 16
 
 
 def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,29 +79,40 @@ class Corpus:
 
     def __init__(self, folder: str, paths: list[str], size: int):
         self.folder, self.paths = folder, paths
-        buckets = lambda each: int(max(1, min(MAX_BUCKETS, size // each)))
+        buckets = lambda each: int(max(1, size // each))
         self.hash_buckets, self.segment_buckets = buckets(HASH_BUCKET), buckets(SEGMENT_BUCKET)
 
     @staticmethod
     def store(docs: DataFrame) -> Corpus:
         spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "suffix")
-        docs.write.option("compression", "zstd").option("maxRecordsPerFile", UNIT_ROWS).parquet(f"{folder}/rows")
+        docs.write.option("compression", "zstd").option("maxRecordsPerFile", UNIT_ROWS).option("parquet.block.size", UNIT_BYTES).parquet(f"{folder}/rows")
         size = spark.read.parquet(f"{folder}/rows").agg(F.sum(F.octet_length("__text"))).first()[0] or 0
         from pyarrow import fs
 
         system, path = open_fs(f"{folder}/rows")
         return Corpus(folder, sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")), size)
 
-    def units(self, spark) -> DataFrame:
+    def files(self, spark) -> DataFrame:
         n = max(1, len(self.paths))
         return spark.range(0, len(self.paths), 1, n)
 
+    def units(self, batches: Iterator[pa.RecordBatch]) -> Iterator[int]:
+        """The units of a task's files, one after another."""
+        import pyarrow.parquet as pq
+
+        system, _ = open_fs(self.folder)
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                with system.open_input_file(self.paths[file]) as f:
+                    n = pq.ParquetFile(f).num_row_groups
+                yield from (file << GROUP_BITS | i for i in range(n))
+
     def batches(self, unit: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
         system, _ = open_fs(self.folder)
-        with system.open_input_file(self.paths[unit]) as f:
-            yield from pq.ParquetFile(f).iter_batches(batch_size=1000, columns=columns)
+        with system.open_input_file(self.paths[unit >> GROUP_BITS]) as f:
+            yield from pq.ParquetFile(f).iter_batches(batch_size=1000, columns=columns, row_groups=[unit & (1 << GROUP_BITS) - 1])
 
     def documents(self, unit: int) -> Iterator[tuple[int, bytes]]:
         for b in self.batches(unit, ["__id", "__text"]):
@@ -176,6 +191,13 @@ def _alike(distinct: list[bytes]) -> np.ndarray:
     return count[which] > 1
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of the runs of equal values."""
+    if len(values):
+        at = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        yield from ((int(values[a]), a, b) for a, b in zip(at[:-1], at[1:], strict=True))
+
+
 def _row(names: str, *values) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in names.split(", ")]
@@ -187,14 +209,12 @@ def _repeated_hashes(spark, corpus: Corpus) -> None:
     shape = "p int, unit long, blob binary"
 
     def deal(batches):
-        for b in batches:
-            for unit in b.column(0).to_pylist():
-                h, flags = corpus.hashes(unit)
-                bounds = np.searchsorted(h >> np.uint64(REST_BITS), np.arange(corpus.hash_buckets + 1, dtype=np.uint64))
-                packed = (h & np.uint64((1 << REST_BITS) - 1)) << np.uint64(2) | flags
-                five = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                for p in np.flatnonzero(np.diff(bounds)):
-                    yield _row(shape, int(p), unit, five[bounds[p] : bounds[p + 1]].tobytes())
+        for unit in corpus.units(batches):
+            h, flags = corpus.hashes(unit)
+            packed = (h & np.uint64((1 << REST_BITS) - 1)) << np.uint64(2) | flags
+            five = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            for p, lo, hi in _runs(h >> np.uint64(REST_BITS)):
+                yield _row(shape, p, unit, five[lo:hi].tobytes())
 
     def tell(pdf):
         import pandas as pd
@@ -220,7 +240,7 @@ def _repeated_hashes(spark, corpus: Corpus) -> None:
             rows.append((unit, code[use].tobytes(), code[use & _among(own, hot)].tobytes()))
         return pd.DataFrame(rows, columns=["unit", "repeated", "hot"])
 
-    dealt = corpus.units(spark).mapInArrow(deal, shape)
+    dealt = corpus.files(spark).mapInArrow(deal, shape)
     told = dealt.groupBy("p").applyInPandas(tell, "unit long, repeated binary, hot binary")
     told.repartition("unit").write.option("compression", "zstd").partitionBy("unit").parquet(f"{corpus.folder}/told")
 
@@ -230,12 +250,11 @@ def _matches(spark, corpus: Corpus) -> None:
     shape = "q int, unit long, part int, ids binary, lengths binary, bytes binary"
 
     def send(batches):
-        for b in batches:
-            for unit in b.column(0).to_pylist():
-                whole = Sent(corpus, unit)
-                whole.keep()
-                for q, part, ids, sent in whole.parts():
-                    yield _row(shape, q, unit, part, np.array(ids, np.int64).tobytes(), np.array([len(s) for s in sent], np.uint8).tobytes(), b"".join(sent))
+        for unit in corpus.units(batches):
+            whole = Sent(corpus, unit)
+            whole.keep()
+            for q, part, ids, sent in whole.parts():
+                yield _row(shape, q, unit, part, ids.tobytes(), np.array([len(s) for s in sent], np.uint8).tobytes(), b"".join(sent))
 
     def match(pdf):
         import pandas as pd
@@ -268,49 +287,52 @@ def _matches(spark, corpus: Corpus) -> None:
         out = [(u, q, p, masks[e - len(x) : e].tobytes()) for u, q, p, x, e in zip(pdf["unit"], pdf["q"], pdf["part"], ids, ends, strict=True)]
         return pd.DataFrame(out, columns=["unit", "q", "part", "masks"])
 
-    sent = corpus.units(spark).mapInArrow(send, shape)
+    sent = corpus.files(spark).mapInArrow(send, shape)
     found = sent.groupBy("q").applyInPandas(match, "unit long, q int, part int, masks binary")
     found.repartition("unit").write.option("compression", "zstd").partitionBy("unit").parquet(f"{corpus.folder}/masks")
 
 
 class Sent:
-    """A unit's distinct repeated segments in a fixed order, with the smallest id that each has in the unit.
+    """A unit's distinct repeated segments by bucket, with the smallest id that each has in the unit.
 
-    `found` keeps, of each document in turn, its segments' first windows, sizes, buckets and places there.
+    `found` keeps, of each document in turn, its segments' first windows and sizes, and which segments they are.
     """
 
     def __init__(self, corpus: Corpus, unit: int):
         self.corpus, self.unit = corpus, unit
-        told = corpus.told(unit)
-        self.place: list[dict[bytes, int]] = [{} for _ in range(corpus.segment_buckets)]
-        self.ids: list[list[int]] = [[] for _ in range(corpus.segment_buckets)]
+        told, known, ids, buckets = corpus.told(unit), {}, [], []
         self.found: list[tuple[np.ndarray, ...]] = []
         for doc, raw in corpus.documents(unit):
             start, size, bucket = corpus.repeated(raw, told)
             places = []
             for a, z, q in zip(start.tolist(), (start + size + MATCH - 1).tolist(), bucket.tolist(), strict=True):
-                place, ids = self.place[q], self.ids[q]
-                at = place.setdefault(raw[a:z], len(ids))
+                at = known.setdefault(raw[a:z], len(ids))
                 if at == len(ids):
                     ids.append(doc)
+                    buckets.append(q)
                 elif doc < ids[at]:
                     ids[at] = doc
                 places.append(at)
-            self.found.append((start.astype(np.int32), size.astype(np.int8), bucket.astype(np.int32), np.array(places, np.int32)))
-
-    def parts(self) -> Iterator[tuple[int, int, list[int], list[bytes]]]:
-        for q, place in enumerate(self.place):
-            sent, step = list(place), max(1, ROW_BYTES // (MATCH + SPAN))
-            for k in range(0, len(sent), step):
-                yield q, k // step, self.ids[q][k : k + step], sent[k : k + step]
+            self.found.append((start.astype(np.int32), size.astype(np.int8), np.array(places, np.int32)))
+        self.buckets = np.array(buckets, np.int64)
+        self.order = np.argsort(self.buckets, kind="stable")
+        self.least, self.segments = np.array(ids, np.int64)[self.order], list(known)
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
+        step = max(1, ROW_BYTES // (MATCH + SPAN))
+        for q, lo, hi in _runs(self.buckets[self.order]):
+            for k in range(lo, hi, step):
+                end = min(hi, k + step)
+                yield q, (k - lo) // step, self.least[k:end], [self.segments[i] for i in self.order[k:end].tolist()]
 
     def keep(self) -> None:
         """Writes what the last step needs to know of the segments; renamed when whole, so that attempts do not mix."""
         n = np.array([len(f[0]) for f in self.found], np.int64)
-        columns = [np.concatenate([np.zeros(0, np.int32), *[f[i] for f in self.found]]) for i in range(4)]
-        base = np.cumsum([0, *[len(x) for x in self.ids]])
-        least = np.array([d for ids in self.ids for d in ids], np.int64)
-        table = pa.table({"name": ["rows", "start", "size", "bucket", "place", "base", "least"], "data": [x.tobytes() for x in (n, columns[0].astype(np.int32), columns[1].astype(np.int8), columns[2].astype(np.int32), columns[3].astype(np.int32), base, least)]})
+        start, size, place = (np.concatenate([np.zeros(0, kind), *[f[i] for f in self.found]]) for i, kind in enumerate((np.int32, np.int8, np.int32)))
+        rank = np.empty(len(self.order), np.int32)
+        rank[self.order] = np.arange(len(self.order), dtype=np.int32)
+        columns = {"rows": n, "start": start, "size": size, "place": rank[place], "least": self.least}
+        table = pa.table({"name": list(columns), "data": [x.tobytes() for x in columns.values()]})
         import pyarrow.parquet as pq
 
         system, path = open_fs(f"{self.corpus.folder}/found")
@@ -331,10 +353,10 @@ class Found:
         with system.open_input_file(path) as f:
             data = dict(zip(*[c.to_pylist() for c in pq.ParquetFile(f).read().columns], strict=True))
         read = lambda name, kind: np.frombuffer(data[name], kind)
-        base, self.least = read("base", np.int64), read("least", np.int64)
+        self.least = read("least", np.int64)
         self.first = np.r_[0, np.cumsum(read("rows", np.int64))]
         self.start, self.size = read("start", np.int32), read("size", np.int8)
-        self.at = base[read("bucket", np.int32)] + read("place", np.int32)
+        self.at = read("place", np.int32)
         by: dict[int, list] = {}
         for r in corpus.table("masks", unit):
             by.setdefault(r["q"], []).append((r["part"], np.frombuffer(r["masks"], np.uint32)))
@@ -373,19 +395,18 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     spark, corpus = docs.sparkSession, _indexed(docs, key, text, [])
 
     def read(batches):
-        for b in batches:
-            for unit in b.column(0).to_pylist():
-                mark, rows = Found(corpus, unit).mark, []
-                for i, (doc, raw) in enumerate(corpus.documents(unit)):
-                    gone = mark(i, doc, len(raw))
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    rows.append((None if doc == NULL_ID else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = cut(corpus.units(spark).mapInArrow(read, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        for unit in corpus.units(batches):
+            mark, rows = Found(corpus, unit).mark, []
+            for i, (doc, raw) in enumerate(corpus.documents(unit)):
+                gone = mark(i, doc, len(raw))
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                rows.append((None if doc == NULL_ID else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = cut(corpus.files(spark).mapInArrow(read, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     removed(spark, corpus.folder)
     return out
 
@@ -400,19 +421,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars
     kept = docs.select(whole_row(docs).alias("__row"), F.lit("").alias("__kept"))
 
     def read(batches):
-        for b in batches:
-            for unit in b.column(0).to_pylist():
-                mark, row = Found(corpus, unit).mark, 0
-                for rows in corpus.batches(unit):
-                    out = []
-                    for doc, t in zip(rows.column("__id").to_pylist(), rows.column("__text"), strict=True):
-                        raw = t.as_py().encode("utf-8", "surrogatepass")
-                        gone = mark(row, doc, len(raw))
-                        row += 1
-                        out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t.as_py())
-                    yield pa.RecordBatch.from_arrays([rows.column("__row"), pa.array(out, pa.string())], ["__row", "__kept"])
-
-    d = corpus.units(spark).mapInArrow(read, kept.schema)
+        for unit in corpus.units(batches):
+            mark, row = Found(corpus, unit).mark, 0
+            for rows in corpus.batches(unit):
+                out = []
+                for doc, t in zip(rows.column("__id").to_pylist(), rows.column("__text"), strict=True):
+                    raw = t.as_py().encode("utf-8", "surrogatepass")
+                    gone = mark(row, doc, len(raw))
+                    row += 1
+                    out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t.as_py())
+                yield pa.RecordBatch.from_arrays([rows.column("__row"), pa.array(out, pa.string())], ["__row", "__kept"])
+
+    d = corpus.files(spark).mapInArrow(read, kept.schema)
     new = F.when(F.col(f"__row.{text}").isNotNull(), F.col("__kept"))
     values = {text: new} | ({chars: F.when(F.col("__kept") == F.col(f"__row.{text}"), F.col(f"__row.{chars}")).otherwise(F.char_length(new).cast(docs.schema[chars].dataType))} if chars in docs.columns else {})
     return d.select(*[values.get(c, F.col(f"__row.{quoted(c)}")).alias(c) for c in docs.columns])

@@ -78,3 +78,16 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, text, "k", 9), (2, "é" + text + "é", "u", 7), (3, None, None, None)], "doc_id long, text string, __text string, n_chars long")
     out = suffix.deduplicated(df.withColumnsRenamed({"__text": "un.it"}))
     assert sorted(tuple(r) for r in out.collect()) == [(1, text, "k", 9), (2, "éé", "u", 2), (3, None, None, None)]
+
+
+def test_units_are_bounded_in_bytes(spark, monkeypatch):
+    """A file's row groups are units of their own."""
+    monkeypatch.setattr(suffix, "UNIT_BYTES", 20_000)
+    rng = random.Random(4)
+    lines = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(1, 8)))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    corpus = suffix.Corpus.store(df.selectExpr("doc_id AS __id", "text AS __text"))
+    units = [u for b in corpus.files(spark).toArrow().to_batches() for u in corpus.units([b])]
+    assert len(corpus.paths) == 1 and len(units) > 2
+    assert sorted((tuple(r) for r in suffix.removals(df).collect()), key=str) == brute(rows)
