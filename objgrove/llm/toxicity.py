@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained, one on ordinary and one on toxic text. E
 both; a toxic passage is shorter with the toxic one. The largest differences of a document's windows become a score by
 logistic thresholds, which are calibrated on labelled texts that the dictionaries have not seen.
 
-Toxic documents are mostly ordinary prose. So the ordinary dictionary is trained on ordinary texts by zstandard's own
-trainer, and the toxic one adds to it the passages of toxic texts whose strings are frequent there and rare elsewhere.
-Both end in the same bytes, so what differs between the two lengths is due to toxic strings. Case is ignored.
+Both are trained by zstandard's own trainer: the ordinary one on windows of ordinary texts, the toxic one on the toxic
+passages of toxic texts, which are mostly ordinary prose otherwise: the runs of strings that are frequent there and rare
+elsewhere. The trainer keeps what repeats most; toxic passages that it leaves out are put before its choice. The ordinary
+dictionary follows in both, so what differs between the two lengths is due to toxic strings. Case is ignored.
 
 Learning uses a bounded sample (PER_CLASS documents of each label, of up to MAX_BYTES); scoring reads every byte of every
 text. Defined cases: null and empty texts have no window and get the score of differences of 0; equal texts get equal
@@ -33,6 +34,8 @@ WINDOW, STRIDE = 64, 48
 DICT_BYTES = 8192
 #: Ends the dictionaries and every window, so that no window is stored uncompressed, where its matches would not show.
 TAIL = bytes(range(1, 32))
+#: The three offsets that end the tables of a dictionary that zstandard trains.
+FIRST_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 GRAM = 5
 #: The toxic dictionary's own part, at most.
 OWN_BYTES = 2048
@@ -144,21 +147,26 @@ def train(rows: list[tuple[int, bytes]]) -> Model | None:
 
     def trained(samples: list[bytes], size: int) -> bytes:
         try:
-            return z.train_dictionary(size, samples, k=64, d=6).as_bytes()
+            # what comes before the first offsets are entropy tables, no text
+            return z.train_dictionary(size, samples, k=64, d=6).as_bytes().split(FIRST_OFFSETS, 1)[-1]
         except z.ZstdError:  # too few samples to train on
             return b"".join(samples)[-size:]
 
     grams, counts = telling(learn[1], learn[0])
-    seen = Counter(p for t in learn[1] for p in set(passages(t, grams, counts)))
-    own: list[bytes] = []
-    for p, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if n >= max(2, SHARE * len(learn[1])) and sum(map(len, own)) + len(p) <= OWN_BYTES and not any(p in q for q in own):
-            own.append(p)
+    parts = [list(dict.fromkeys(passages(t, grams, counts))) for t in learn[1]]
+    seen = Counter(p for own in parts for p in own)
+    often = {p for p, n in seen.items() if n >= max(2, SHARE * len(learn[1]))}
+    # each toxic text's own toxic passages are what the toxic dictionary is trained on; the trainer keeps what repeats
+    # most, and what it leaves out goes before that, the most frequent last
+    toxic = trained([p for own in parts for p in own if p in often], OWN_BYTES) if often else b""
+    for p in sorted(often, key=lambda p: (-seen[p], p)):
+        if p not in toxic and len(toxic) + len(p) <= OWN_BYTES:
+            toxic = p + b"\x00" + toxic
     # windows that have a toxic passage by chance would hide it from the difference
-    plain = [w for w in windows(learn[0]) if not any(p.strip() in w for p in own)]
+    plain = [w for w in windows(learn[0]) if not any(p.strip() in w for p in often)]
     common = trained(plain[:: max(1, len(plain) // 20_000)], DICT_BYTES)
     # the shared part comes last in both, at the same distance from a window
-    model = Model(common + TAIL, b"\x00".join(own) + b"\x00" + common + TAIL)
+    model = Model(common + TAIL, toxic + common + TAIL)
     tools = model.tools()
     x = np.array([model.features(t, tools) for k in (0, 1) for t in rest[k]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
@@ -186,35 +194,29 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_
     return train([(r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in rows])
 
 
-def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with the columns toxic_score and windows; clashing names of docs are kept inside a struct by the callers."""
+def scored(docs: DataFrame, model: Model | None, text) -> DataFrame:
+    """docs with the column __score; text takes a batch's texts from it, so that they are handed to Python once."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = model.tools() if model else None
         for b in batches:
-            texts = [s.as_py() or "" for s in b.column(b.schema.names.index("__text"))]
-            if model:
-                x = np.array([model.features(t.encode("utf-8", "surrogatepass"), tools) for t in texts]).reshape(len(texts), TOP + 3)
-                s = model.score(x)
-            else:
-                s = np.zeros(len(texts))
-            keep = [i for i, n in enumerate(b.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(s, pa.float64())], [*[b.schema.names[i] for i in keep], "__score"])
+            texts = [str(s.as_py() or "") for s in text(b)]
+            x = np.array([model.features(t.encode("utf-8", "surrogatepass"), tools) for t in texts]).reshape(len(texts), TOP + 3) if model else None
+            s = model.score(x) if model else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], [b.schema.names[0], "__score"])
 
-    d = docs.withColumn("__text", F.col(text).cast("string"))
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
-    return d.mapInArrow(score, schema)
+    return docs.mapInArrow(score, docs.select(docs.columns[0]).withColumn("__score", F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = learned(docs, labels)
-    d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+    d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, lambda b: b.column(1))
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    model = learned(docs, labels)
-    d = scored(docs.select(whole_row(docs).alias("__row"), F.col("text")), model).where(F.col("__score") < THRESHOLD)
+    at = docs.columns.index("text")
+    d = scored(docs.select(whole_row(docs).alias("__row")), learned(docs, labels), lambda b: b.column(0).field(at)).where(F.col("__score") < THRESHOLD)
     return d.select("__row.*")
