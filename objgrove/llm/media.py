@@ -142,9 +142,10 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _ranges(index: DataFrame, schema: str, need, of) -> DataFrame:
+def _ranges(index: DataFrame, added: str, need, of) -> DataFrame:
     """Adds columns that of() makes from range reads; a member's range is read once in a row batch."""
     names = index.columns
+    schema = ", ".join([*[f"{c} {kind.replace('bigint', 'long')}" for c, kind in index.dtypes], added])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -170,7 +171,7 @@ def _ranges(index: DataFrame, schema: str, need, of) -> DataFrame:
 
 def with_metadata(index: DataFrame) -> DataFrame:
     """The index with width, height and bits, from header-only range reads."""
-    return _ranges(index, INDEX + ", width int, height int, bits int", lambda r: HEADER_BYTES, png_header)
+    return _ranges(index, "width int, height int, bits int", lambda r: HEADER_BYTES, png_header)
 
 
 def with_content(index: DataFrame) -> DataFrame:
@@ -180,10 +181,11 @@ def with_content(index: DataFrame) -> DataFrame:
         samples = decode_png(data)
         return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)
 
-    schema = INDEX + ", width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _ranges(index, schema, lambda r: r["length"], lambda data: (*png_header(data[:HEADER_BYTES]), *of(data)))
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _ranges(index, added, lambda r: r["length"], of)
 
 
 def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Metadata columns are filled from headers alone; content columns take the whole member."""
     index = store(docs, new_folder(docs.sparkSession, "media"), key, text)
-    return with_content(index).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+    return with_content(with_metadata(index)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")

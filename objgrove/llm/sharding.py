@@ -5,7 +5,9 @@ turns claiming the next free slot of their permutation until the table is full,
 most, and a removed shard moves little beyond its own slots. The table has TABLE_SIZE rows whatever the data, so it is
 broadcast, and a row's shard is one look-up of its key's hash.
 
-Defined cases: a null key hashes like the word "null"; equal keys share a shard; an empty table gives an empty result.
+Defined cases: a null key hashes like the word "null"; equal keys share a shard, repeated rows are placed each for itself;
+other columns are kept, whatever their names, nulls and long texts in them too, but one of the new column's name is
+replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objgrove.llm.common import quoted, whole_row
+
 TABLE_SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -46,10 +50,11 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards=SHARDS, size: int = TABLE_SIZE, to: str = "shard") -> DataFrame:
-    """df with the column `to` added, the name of each row's shard."""
+    """df with the column `to`, the name of each row's shard, last; it takes the place of a column of that name."""
     owners = fill(shards, size)
     rows = [(i, shards[k]) for i, k in enumerate(owners.tolist())]
-    table = df.sparkSession.createDataFrame(rows, f"`__slot_{to}` int, `__shard_{to}` string")
-    out = df.withColumn(f"__at_{to}", slot(F.col(key), size))
-    out = out.join(F.broadcast(table), F.col(f"__at_{to}") == F.col(f"__slot_{to}"), "left")
-    return out.select(*df.columns, F.col(f"__shard_{to}").alias(to))
+    table = df.sparkSession.createDataFrame(rows, "slot int, owner string")
+    kept = [c for c in df.columns if c != to]
+    own = df.select(whole_row(df).alias("row"), slot(F.col(quoted(key)), size).alias("at"))
+    out = own.join(F.broadcast(table), F.col("at") == F.col("slot"), "left")
+    return out.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in kept], F.col("owner").alias(to))

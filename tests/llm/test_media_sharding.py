@@ -80,3 +80,21 @@ def test_placement(spark):
         key = "null" if r["doc_id"] is None else str(r["doc_id"])
         assert r["owner"] == sharding.SHARDS[owners[int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE]]
     assert sharding.place(df.limit(0), "doc_id").collect() == []
+
+
+def test_placement_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mine", 2, "x", "y"), (1, "mine", 2, None, "y" * 100_000)], "doc_id long, __at_shard string, slot int, `a.b` string, row string")
+    out = sharding.place(df, "doc_id")
+    assert out.columns == [*df.columns, "shard"]
+    assert sorted((tuple(r)[:-1] for r in out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    again = sharding.place(out, "doc_id", ["one"])
+    assert again.columns == out.columns and {r["shard"] for r in again.collect()} == {"one"}
+
+
+def test_media_takes_metadata_from_headers(spark, monkeypatch):
+    """Metadata columns come from the header-only reads: without these there are none."""
+    df = spark.createDataFrame([(1, "abc", "x"), (2, "def", "y")], "doc_id long, text string, width string")
+    assert [r["width"] for r in media.media(df).collect()] == [192, 192]
+    monkeypatch.setattr(media, "with_metadata", lambda index: index)
+    with pytest.raises(Exception, match="width"):
+        media.media(df).collect()
