@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -84,3 +85,23 @@ def open_fs(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+class Files:
+    """The files of a stored table, by the number of the task that wrote each; readers on executors get paths alone."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.folder = folder
+        system, path = open_fs(folder)
+        names = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
+        self.paths = {int(re.search(r"part-(\d+)-", x.rsplit("/", 1)[1])[1]): x for x in names}
+
+    def batches(self, unit: int, columns: list[str], size: int = 1000):
+        import pyarrow.parquet as pq
+
+        if unit in self.paths:
+            system, _ = open_fs(self.folder)
+            with system.open_input_file(self.paths[unit]) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=size, columns=columns)

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import cut, new_folder, open_fs, quoted, removed, stored
+from objgrove.llm.common import Files, cut, new_folder, quoted, removed, stored
 from objgrove.llm.components import components
 from objgrove.llm.words import mix, shingles, words_of
 
@@ -152,27 +151,9 @@ class Units:
                     at += len(sets)
                     yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *added])
 
-        self.schema, self.folder = d.schema, f"{folder}/units"
-        self.rows = stored(d.mapInArrow(read, d.withColumns(own).schema), self.folder)
-
-        from pyarrow import fs
-
-        system, path = open_fs(self.folder)
-        names = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
-        # files are named by the number of the task that wrote them
-        self.paths = {int(re.search(r"part-(\d+)-", x.rsplit("/", 1)[1])[1]): x for x in names}
-
-    def __getstate__(self) -> dict:
-        """What readers on executors need."""
-        return {"folder": self.folder, "paths": self.paths}
-
-    def batches(self, unit: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-
-        if unit in self.paths:
-            system, _ = open_fs(self.folder)
-            with system.open_input_file(self.paths[unit]) as f:
-                yield from pq.ParquetFile(f).iter_batches(batch_size=1000, columns=columns)
+        self.schema = d.schema
+        self.rows = stored(d.mapInArrow(read, d.withColumns(own).schema), f"{folder}/units")
+        self.files = Files(f"{folder}/units")
 
     def told(self, wanted: DataFrame, read, schema) -> DataFrame:
         """read(unit, rows of wanted with this __unit, by __at) for each unit that wanted names."""
@@ -424,9 +405,11 @@ def _classified(units: Units, folder: str) -> DataFrame:
     schema = wanted.drop("__unit", "__at").withColumn("text", F.lit("").cast("string")).schema
     names = schema.names[:-1]
 
+    files = units.files
+
     def texts(unit: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         at, lo = rows.column("__at").to_numpy(), 0
-        for b in units.batches(unit, ["__at", "__text"]):
+        for b in files.batches(unit, ["__at", "__text"]):
             here = b.column(0).to_numpy()
             hi = int(np.searchsorted(at, here[-1], side="right"))
             if hi > lo:
@@ -470,12 +453,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     units = Units(docs, key, text, folder, True)
     rows = _classified(units, folder)
     gone = rows.where((F.col("__unit") != F.col("keep.__unit")) | (F.col("__at") != F.col("keep.__at"))).select("__unit", "__at")
-    every = docs.sparkSession.createDataFrame([(u, -1) for u in sorted(units.paths)], "`__unit` int, `__at` long")
-    kept, names = units.schema, units.schema.names
+    every = docs.sparkSession.createDataFrame([(u, -1) for u in sorted(units.files.paths)], "`__unit` int, `__at` long")
+    kept, names, files = units.schema, units.schema.names, units.files
 
     def read(unit: int, told: pa.Table) -> Iterator[pa.RecordBatch]:
         drop = told.column("__at").to_numpy()
-        for b in units.batches(unit, ["__at", *names]):
+        for b in files.batches(unit, ["__at", *names]):
             stay = pa.array(~np.isin(b.column(0).to_numpy(), drop))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(stay) for c in names], names)
 

@@ -8,8 +8,9 @@ Words, words before a word, and pairs of words in a row are counted by their 64-
 exact whatever the corpus. Documents are dealt into chunks of about CHUNK words, which are stored as numbers of words in a
 vocabulary of their own. A chunk sends each of its n-grams once, with its count there, to the bucket of the n-gram's hash;
 the bucket adds up what all chunks sent and answers each with the totals of what it asked for. Buckets follow the measured
-number of words, ENTRIES each at most on average. So the table of counts grows with the corpus and stays distributed, no
-task holds more than a bucket or a chunk, and a frequent n-gram is one entry a chunk.
+number of words, ENTRIES each at most on average, and each is a task's. So the table of counts grows with the corpus and
+stays distributed, no task holds more than a bucket or a chunk, and a frequent n-gram is one entry a chunk. Answers meet
+their chunks where these are stored, so texts and their words are never shuffled.
 
 Defined cases: null, empty and blank texts have 0 tokens and losses of 0; equal texts get equal scores; repeated rows
 count and are scored each for itself; an empty target or corpus leaves the uniform part of a model; other columns are
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import new_folder, stored
+from objgrove.llm.common import Files, new_folder, removed, stored
 from objgrove.llm.words import BASE, mix, words_of
 
 #: The uniform part is one in so many.
 VOCABULARY = 1 << 18
 #: Words (and rows) of a chunk, and n-grams that a bucket is sent.
 CHUNK = 1 << 20
-ENTRIES = 1 << 22
+ENTRIES = 1 << 21
 #: Weights of the pair, the single word and the uniform part.
 SHARES = (0.6, 0.35, 0.05)
 #: A text's first word comes after START; salts keep words and words before a word apart.
@@ -128,7 +129,7 @@ def _sent(chunks: DataFrame, target: bool, buckets: int) -> DataFrame:
     return chunks.select("chunk", "ns", "vocabulary", "tokens").mapInArrow(read, "target boolean, chunk long, bucket int, n long, steps binary, counts binary")
 
 
-def _totals(sent: DataFrame) -> DataFrame:
+def _totals(sent: DataFrame, buckets: int) -> DataFrame:
     """What the documents' chunks sent to a bucket, answered by the target's and the corpus' totals in the order of the keys."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
@@ -158,7 +159,7 @@ def _totals(sent: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(read, "chunk long, bucket int, n long, of_target binary, of_corpus binary")
 
 
@@ -170,33 +171,43 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc
     sizes = [x.agg(F.sum("size"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + n))).first() for x in (t, d)]
     buckets = max(1, -(-sum(s[0] or 0 for s in sizes) // ENTRIES))
     words = [float(s[1] or 0) for s in sizes]
-    totals = _totals(_sent(d, False, buckets).unionByName(_sent(t, True, buckets)))
+    totals = _totals(_sent(d, False, buckets).unionByName(_sent(t, True, buckets)), buckets)
+    files = Files(f"{folder}/docs")
 
-    def scored(rows: list[tuple]) -> pa.RecordBatch:
-        _, _, ids, ns, vocabulary, data, *_ = rows[0]
-        ns, vocabulary = np.array(ns, np.int64), np.frombuffer(vocabulary, np.uint64)
-        keys, _, b, w, which = ngrams(vocabulary, _unpacked(data, int(ns.sum())).astype(np.int64), ns)
+    def scored(chunk: dict, told: list[tuple]) -> pa.RecordBatch:
+        ns, vocabulary = np.array(chunk["ns"], np.int64), np.frombuffer(chunk["vocabulary"], np.uint64)
+        keys, _, b, w, which = ngrams(vocabulary, _unpacked(chunk["tokens"], int(ns.sum())).astype(np.int64), ns)
         order, v, at, mean = np.argsort(keys), len(vocabulary), np.repeat(np.arange(len(ns)), ns), []
         for i in (0, 1):
             n = np.empty(len(keys))
-            n[order] = np.concatenate([_unpacked(r[7 + i], r[6]) for r in rows[1:]])
+            n[order] = np.concatenate([_unpacked(r[4 + i], r[3]) for r in told])
             p = SHARES[2] / VOCABULARY + SHARES[1] * n[:v][w] / max(words[i], 1.0) + SHARES[0] * n[2 * v + 1 :] / np.maximum(n[v : 2 * v + 1][b], 1)
             mean.append(np.bincount(at, -np.log(p)[which], len(ns)) / np.maximum(ns, 1))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk["ids"], pa.int64()), pa.array(ns), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A unit's chunks and their answers, in the same order; every chunk has one, as it asks for START at least."""
         held: list[tuple] = []
+        unit, chunks = -1, iter(())
+
+        def settle() -> pa.RecordBatch:
+            nonlocal unit, chunks
+            if held[0][0] != unit:
+                unit = held[0][0]
+                chunks = (r for b in files.batches(unit, ["chunk", "ids", "ns", "vocabulary", "tokens"], 1) for r in b.to_pylist())
+            return scored(next(r for r in chunks if r["chunk"] == held[0][1]), held)
+
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    yield scored(held)
+                if held and held[0][1] != r[1]:
+                    yield settle()
                     held = []
                 held.append(r)
         if held:
-            yield scored(held)
+            yield settle()
 
-    none = lambda kind: F.lit(None).cast(kind)
-    own = d.select("chunk", F.lit(-1).alias("bucket"), "ids", "ns", "vocabulary", "tokens", none("long").alias("n"), none("binary").alias("of_target"), none("binary").alias("of_corpus"))
-    told = totals.select("chunk", "bucket", none("array<long>").alias("ids"), none("array<long>").alias("ns"), none("binary").alias("vocabulary"), none("binary").alias("tokens"), "n", "of_target", "of_corpus")
-    rows = own.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    told = totals.select(F.shiftright("chunk", 32).cast("int").alias("unit"), "chunk", "bucket", "n", "of_target", "of_corpus")
+    told = told.repartition(max(1, len(files.paths)), "unit").sortWithinPartitions("unit", "chunk", "bucket")
+    out = stored(told.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"), new_folder(docs.sparkSession, "entropy-scores"))
+    removed(docs.sparkSession, folder)
+    return out

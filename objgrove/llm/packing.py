@@ -145,7 +145,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", limits=(CAPACITY, MAX_SEGMENTS, CAPACITY), waiting: int = WAITING) -> DataFrame:
     """One row for each piece of each document: where it starts there, and its sequence and place in it.
 
-    All of a document's tokens bear loss. The last bin of a task is cut at powers of two, which need no padding.
+    All of a document's tokens bear loss. A bin that does not end full is cut at powers of two, which need no padding.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
 
         def put(bins) -> None:
             nonlocal sequence
-            for pieces in bins:
+            # a bin that ends early, for its segments or as the last one, goes on as bins of powers of two
+            for pieces in (part for b in bins for part in ([b] if sum(p[2] for p in b) >= limits[0] else powers(b))):
                 offset = 0
                 for (doc, ids), start, length in pieces:
                     rows.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), sequence, offset))
@@ -170,13 +171,6 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        def whole(bins) -> Iterator[list]:
-            for pieces in bins:
-                if sum(p[2] for p in pieces) < limits[0] and not packer.n:
-                    yield from powers(pieces)
-                else:
-                    yield pieces
-
         for batch in batches:
             for doc, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(s.as_py() or ""), 0], dtype="<u4")
@@ -184,17 +178,18 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
                 if len(rows) >= 50_000:
                     yield out()
             yield out()
-        put(whole(packer.finish()))
+        put(packer.finish())
         yield out()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pack, SCHEMA)
 
 
 def pack_conversations(turns: DataFrame, max_tokens: int = CAPACITY, max_segments: int = 16, max_loss: int = 512, waiting: int = WAITING) -> DataFrame:
-    """Whole conversations into bins: conv_id, tokens, loss_tokens, sequence_id, offset.
+    """Conversations into bins: conv_id, part, tokens, loss_tokens, sequence_id, offset.
 
-    Only an assistant's turns bear loss. Conversations are not cut; one that exceeds a limit alone gets sequence_id null
-    and keeps its figures, so that a caller can cut it. Turns are gathered by conversation, with null ids as one.
+    Only an assistant's turns bear loss. A conversation that exceeds a limit alone is cut into the fewest equal parts that
+    do not, with its loss-bearing tokens taken as spread evenly; others are one part. Turns are gathered by conversation,
+    with null ids as one.
     """
     t = turns.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -217,18 +212,18 @@ def pack_conversations(turns: DataFrame, max_tokens: int = CAPACITY, max_segment
             nonlocal sequence
             for pieces in bins:
                 offset = 0
-                for (conv, tokens, loss), _, length in pieces:
-                    rows.append((conv, tokens, loss, sequence, offset))
+                for (conv, part, tokens, loss), _, length in pieces:
+                    rows.append((conv, part, tokens, loss, sequence, offset))
                     offset += length
                 sequence += 1
 
-        names = ["conv_id", "tokens", "loss_tokens", "sequence_id", "offset"]
+        names = ["conv_id", "part", "tokens", "loss_tokens", "sequence_id", "offset"]
         for b in batches:
-            for item in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                if item[1] > max_tokens or item[2] > max_loss:
-                    rows.append((*item, None, None))
-                else:
-                    put(packer.place(item, item[1], item[2]))
+            for conv, tokens, loss in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                n = max(1, -(-tokens // max_tokens), -(-loss // max_loss))
+                for k in range(n):
+                    t, bearing = (x * (k + 1) // n - x * k // n for x in (tokens, loss))
+                    put(packer.place((conv, k, t, bearing), t, bearing))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
                 rows.clear()
@@ -236,4 +231,4 @@ def pack_conversations(turns: DataFrame, max_tokens: int = CAPACITY, max_segment
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return sizes.mapInArrow(pack, "conv_id long, tokens long, loss_tokens long, sequence_id long, offset long")
+    return sizes.mapInArrow(pack, "conv_id long, part long, tokens long, loss_tokens long, sequence_id long, offset long")

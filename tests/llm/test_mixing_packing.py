@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from objgrove.llm import mixing, packing
 
@@ -108,10 +109,40 @@ def test_limits_hold_together():
 
 def test_conversations(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
+    long = spark.createDataFrame([(-7, 1, "assistant", "word " * 3000), (-7, 2, "user", "word " * 3000)], "conv_id long, turn int, role string, text string")
+    c = c.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text").unionByName(long)
     rows = packing.pack_conversations(c).collect()
-    assert sorted(r["conv_id"] for r in rows) == sorted(r[0] for r in c.select("conv_id").distinct().collect())
-    by = defaultdict(list)
+    assert {r["conv_id"] for r in rows} == {r[0] for r in c.select("conv_id").distinct().collect()}
+    by, parts = defaultdict(list), defaultdict(list)
     for r in rows:
-        if r["sequence_id"] is not None:
-            by[r["sequence_id"]].append(r)
+        by[r["sequence_id"]].append(r)
+        parts[r["conv_id"]].append(r)
     assert all(sum(r["tokens"] for r in x) <= 1024 and sum(r["loss_tokens"] for r in x) <= 512 and len(x) <= 16 for x in by.values())
+    for x in by.values():
+        at = 0
+        for r in sorted(x, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["tokens"]
+    assert all(sorted(r["part"] for r in x) == list(range(len(x))) for x in parts.values())
+    encode = packing.tokenizer()
+    turns = [len(encode("word " * 3000)) + 1] * 2
+    assert (sum(r["tokens"] for r in parts[-7]), sum(r["loss_tokens"] for r in parts[-7])) == (sum(turns), turns[0])
+
+
+def test_short_documents_leave_little_padding(spark):
+    rows = [(i, "a b c") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    padding, total = check_pieces(packing.pack_documents(df).collect(), dict(rows))
+    assert padding <= 0.01 * total
+
+
+def test_ids_of_all_documents(spark):
+    """Both libraries' ids of every text of a whole table."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    slow, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokenizer()
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").distinct().collect()]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        assert [encode(t) for t in part] == [e.ids for e in slow.encode_batch(part, add_special_tokens=False)]
