@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are the shapes of its words (runs of letters and digits collapsed, other characters kept) and a few terms
-for how long and how repetitive it is, hashed to TERMS columns. A labelled sample's weighted counts are factorised; the
+A text's terms are its words, their shapes (runs of letters and digits collapsed, other characters kept) and a few terms for
+how long and how repetitive it is, hashed to TERMS columns. A labelled sample's weighted counts are factorised; the
 texts' coordinates are unit vectors, broadcast with their labels (2 * PER_CLASS rows of RANK numbers, whatever the
 corpus). Every document's cosines to all of them are computed, block by block as a matrix product, and its NEIGHBOURS
 nearest vote with their similarities' powers, each class by its share among the labels.
@@ -27,7 +27,7 @@ from objgrove.llm.labelled import held_out, training_rows
 
 PER_CLASS = 1500
 MAX_BYTES = 65_536
-TERMS = 2048
+TERMS = 4096
 RANK = 48
 NEIGHBOURS = 25
 POWER = 4
@@ -44,6 +44,7 @@ def terms(raw: bytes) -> Counter:
         shapes = run.sub(c, shapes)
     out, words, lines = Counter(shapes.split()), raw.split(), raw.split(b"\n")
     n = len(words)
+    out.update(b"\x01" + w for w in words)
     level = lambda part, whole: int(round(10 * part / max(1, whole)))
     weight = max(3, int(n**0.5))
     out[b"\x00length %d" % n.bit_length()] = weight

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -37,6 +38,66 @@ def test_toxicity_held_out(data):
     assert ordinary >= 0.95 and toxic >= 0.7
 
 
+def test_votes_against_plain_cosines():
+    """Every neighbour by a loop over all labelled vectors."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(rng.choice(words[30 * k :][:40], 30)).encode()
+    labels = np.array([i % 2 for i in range(80)])
+    hashed = quality.Hashed()
+    model = quality.Model(hashed.rows([text(k) for k in labels]), labels, 0.7)
+    asked = [text(i % 2) for i in range(12)] + [b""]
+    got = model.score(hashed.rows(asked))
+    for raw, score in zip(asked, got, strict=True):
+        x = np.zeros(quality.TERMS)
+        for term, n in quality.terms(raw).items():
+            x[zlib.crc32(term) % quality.TERMS] += n
+        v = np.log1p(x) * model.idf
+        v = (v / np.linalg.norm(v)) @ model.axes
+        cosines = sorted(((float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)), i) for i, u in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 1e-6) ** quality.POWER * (0.7 / 0.5 if labels[i] else 0.3 / 0.5), labels[i]) for c, i in cosines]
+        assert np.isclose(score, sum(w for w, k in votes if k) / sum(w for w, _ in votes), atol=1e-3)
+
+
+def insults(rng, n):
+    """(text, toxic): prose of made-up words, with insults in every third text."""
+    common, bad = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ala", "eri", "oso", "umo", "ine")], ["zwoggle", "xyrfhead", "qubbish"]
+    for i in range(n):
+        w = list(rng.choice(common, rng.integers(20, 200)))
+        for _ in range(4 if i % 3 == 0 else 0):
+            w.insert(int(rng.integers(len(w))), bad[int(rng.integers(3))])
+        yield " ".join(w), int(i % 3 == 0)
+
+
+def test_windows_against_plain_compression():
+    """Every window's two lengths by a compressor made for it, and what each dictionary is trained on."""
+    import zstandard as z
+
+    rows = [(toxic, text.encode()) for text, toxic in insults(np.random.default_rng(1), 900)]
+    model = toxicity.train(rows)
+    assert b"zwoggle" in model.toxic and b"zwoggle" not in model.ordinary and b"ala " in model.ordinary and model.toxic.endswith(model.ordinary)
+    raw, got = rows[0][1], model.differences(rows[0][1], model.tools())
+    params = z.ZstdCompressionParameters(
+        window_log=15, chain_log=13, hash_log=13, search_log=6, min_match=5, target_length=64, strategy=z.STRATEGY_LAZY2,
+        format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    plain, at = [], 0
+    while at == 0 or at < len(raw) - toxicity.WINDOW + toxicity.STRIDE:
+        lengths = [len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(raw.lower()[at : at + toxicity.WINDOW] + toxicity.TAIL)) for d in (model.ordinary, model.toxic)]
+        plain.append(lengths[0] - lengths[1])
+        at += toxicity.STRIDE
+    assert got.tolist() == plain and at >= len(raw) - toxicity.WINDOW + toxicity.STRIDE
+
+
+def test_clean_rejects_toxic_documents(spark):
+    rows = [(i, text, toxic) for i, (text, toxic) in enumerate(insults(np.random.default_rng(3), 1200))]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int")
+    kept = {r["doc_id"] for r in toxicity.clean(df, labels).collect()}
+    gone = {i for i, _, toxic in rows if toxic}
+    assert len(gone & kept) <= 0.05 * len(gone) and len(kept - gone) >= 0.98 * (len(rows) - len(gone))
+
+
 @pytest.mark.parametrize("run", [quality.quality, toxicity.toxicity])
 def test_edges(spark, run):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (None, "a b"), (5, "a b"), (5, "a b")], "doc_id long, text string")
