@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -105,3 +106,13 @@ class Files:
             system, _ = open_fs(self.folder)
             with system.open_input_file(self.paths[unit]) as f:
                 yield from pq.ParquetFile(f).iter_batches(batch_size=size, columns=columns)
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system, where the C library can; an idle Python worker would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

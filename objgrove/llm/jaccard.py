@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import Files, cut, new_folder, quoted, removed, stored
+from objgrove.llm.common import Files, cut, new_folder, quoted, removed, stored, trimmed
 from objgrove.llm.components import components
 from objgrove.llm.words import mix, shingles, words_of
 
@@ -150,6 +150,7 @@ class Units:
                     ]
                     at += len(sets)
                     yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *added])
+            trimmed()
 
         self.schema = d.schema
         self.rows = stored(d.mapInArrow(read, d.withColumns(own).schema), f"{folder}/units")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import Files, new_folder, removed, stored
+from objgrove.llm.common import Files, new_folder, removed, stored, trimmed
 from objgrove.llm.words import BASE, mix, words_of
 
 #: The uniform part is one in so many.
@@ -155,9 +155,11 @@ def _totals(sent: DataFrame, buckets: int) -> DataFrame:
                 if held and held[0][2] != r[2]:
                     yield settle(held)
                     held = []
+                    trimmed()
                 held.append(r)
         if held:
             yield settle(held)
+        trimmed()
 
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(read, "chunk long, bucket int, n long, of_target binary, of_corpus binary")
@@ -205,6 +207,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc
                 held.append(r)
         if held:
             yield settle()
+        trimmed()
 
     told = totals.select(F.shiftright("chunk", 32).cast("int").alias("unit"), "chunk", "bucket", "n", "of_target", "of_corpus")
     told = told.repartition(max(1, len(files.paths)), "unit").sortWithinPartitions("unit", "chunk", "bucket")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objgrove.llm.common import cut, new_folder, open_fs, quoted, removed, whole_row
+from objgrove.llm.common import cut, new_folder, open_fs, quoted, removed, trimmed, whole_row
 from objgrove.llm.run_index import MATCH, RunIndex
 from objgrove.llm.words import mix, prefix
 
@@ -39,7 +39,7 @@ SPAN = MATCH - GRAM + 1
 #: Rows of a file and bytes of a unit, about.
 UNIT_ROWS, UNIT_BYTES = 20_000, 64 << 20
 #: Text bytes for a bucket of hashes and for one of segments; buckets are as many as the corpus needs.
-HASH_BUCKET, SEGMENT_BUCKET = 24 << 20, 4 << 20
+HASH_BUCKET, SEGMENT_BUCKET = 24 << 20, 2 << 20
 #: Documents of a unit that make a minimizer hot.
 HOT = 64
 ROW_BYTES = 4 << 20
@@ -105,7 +105,9 @@ class Corpus:
             for file in b.column(0).to_pylist():
                 with system.open_input_file(self.paths[file]) as f:
                     n = pq.ParquetFile(f).num_row_groups
-                yield from (file << GROUP_BITS | i for i in range(n))
+                for i in range(n):
+                    yield file << GROUP_BITS | i
+                    trimmed()
 
     def batches(self, unit: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -285,6 +287,7 @@ def _matches(spark, corpus: Corpus) -> None:
         masks = np.bincount(row, np.where(earlier, 1 << j, 0), len(which)).astype(np.uint32)
         ends = np.cumsum([len(x) for x in ids])
         out = [(u, q, p, masks[e - len(x) : e].tobytes()) for u, q, p, x, e in zip(pdf["unit"], pdf["q"], pdf["part"], ids, ends, strict=True)]
+        trimmed()
         return pd.DataFrame(out, columns=["unit", "q", "part", "masks"])
 
     sent = corpus.files(spark).mapInArrow(send, shape)

@@ -13,19 +13,29 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at a time.
 GROUP_BYTES = 1 << 20
 
+#: Powers that are kept between calls, at most; more are made for a call, so that idle workers do not hold them.
+KEPT_POWERS = 1 << 20
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > KEPT_POWERS:
+        return _first_powers(n)
     if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+        _powers[:] = _first_powers(1 << int(n - 1).bit_length())
     return _powers[0][:n], _powers[1][:n]
 
 
+def _first_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
