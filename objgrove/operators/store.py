@@ -154,14 +154,14 @@ class Store:
         fail = lambda status, why: wire.report(status, [(r, False, why(r)) for r in refs], band)
         long = {r for r in refs if len(r.encode()) > S.MAX_REF_NAME_BYTES}
         if long and (atomic or len(long) == len(refs)):
-            return fail("ok", lambda r: "funny refname (too long to store)" if r in long else "atomic transaction failed")
+            return fail("ok", lambda r: S.LONG_REF if r in long else S.ATOMIC_FAILED)
         rid = self.ensure_repo(repo)
         if request.pack:
             one = self.spark.createDataFrame([(rid, bytearray(request.pack))], "repo_id long, pack binary")
             rows = cut(packs.parsed(one, self.read()["git_object"]))
             code = rows.select(F.coalesce("error", validation_code("type", "content")).alias("e")).where("e is not null").first()
             if code:
-                return fail(code[0], lambda r: "unpacker error")
+                return fail(code[0], lambda r: S.UNPACKER_ERROR)
             self.put(rows.select("repo_id", "type", "content"), now)
         t = self.read()
         tips = [new for _, new, _ in request.commands if new != S.ZERO]
@@ -169,9 +169,9 @@ class Store:
         if tips:
             wanted = self.spark.createDataFrame([(rid, o) for o in set(tips)], "repo_id long, oid string")
             missing = {r["tip"] for r in graph.connected(t["git_object"], t["git_edge"], wanted, tree_blobs(t["git_object"]), strategy).where("not connected").collect()}
-        bad = {r: "missing necessary objects" for _, new, r in request.commands if new in missing} | {r: "funny refname (too long to store)" for r in long}
+        bad = {r: S.MISSING_OBJECTS for _, new, r in request.commands if new in missing} | {r: S.LONG_REF for r in long}
         if bad and atomic:
-            return fail("ok", lambda r: bad.get(r, "atomic transaction failed"))
+            return fail("ok", lambda r: bad.get(r, S.ATOMIC_FAILED))
         run = [(rid, i, ref, old, new) for i, (old, new, ref) in enumerate(request.commands) if ref not in bad]
         results = {}
         if run:

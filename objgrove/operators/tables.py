@@ -84,8 +84,8 @@ def classified(commands: DataFrame) -> DataFrame:
 def apply_commands(refs: DataFrame, commands: DataFrame, atomic: bool = False, peels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One batch (repo_id, seq, ref, old_oid, new_oid) by compare-and-swap; (new refs, results).
 
-    Results have op, ok, mutated and reason. Commands on one ref run in seq order. A delete is unconditional, and one
-    of an absent ref is ok without mutating. An atomic batch is all or nothing within each repository. Commands stream
+    Results have op, ok, mutated and reason. Commands on one ref run in seq order. A delete with an old id compares it like
+    an update; one with a zero old id is unconditional, and ok without mutating where the ref is absent. An atomic batch is all or nothing within each repository. Commands stream
     through tasks sorted by ref, with one ref's state at a time. HEAD is made to point at main where it is absent. `peels`
     (repo_id, oid, peeled_oid) gives the peeled ids of new values.
     """
@@ -106,7 +106,8 @@ def apply_commands(refs: DataFrame, commands: DataFrame, atomic: bool = False, p
                 if r["long"]:
                     ok = False
                 elif r["op"] == "delete":
-                    ok, value = True, None
+                    ok = r["old_oid"] in (None, S.ZERO) or value == r["old_oid"]
+                    value = None if ok else value
                 else:
                     ok = value is None if r["op"] == "create" else value == r["old_oid"]
                     value = r["new_oid"] if ok else value
@@ -120,11 +121,11 @@ def apply_commands(refs: DataFrame, commands: DataFrame, atomic: bool = False, p
     if atomic:
         all_ok = done.groupBy("repo_id").agg(F.bool_and("ok").alias("all_ok"))
         done = done.join(all_ok, "repo_id")
-        reason = F.when(F.col("all_ok"), F.lit(None)).when(F.col("ok"), "atomic transaction failed").otherwise("stale ref (compare-and-swap failed)")
+        reason = F.when(F.col("all_ok"), F.lit(None)).when(F.col("ok"), S.ATOMIC_FAILED).otherwise(S.STALE_REF)
         done = cut(done.select("repo_id", "seq", "ref", "op", F.col("all_ok").alias("ok"), (F.col("mutated") & F.col("all_ok")).alias("mutated"), "value", reason.alias("reason")))
     else:
-        done = done.withColumn("reason", F.when(~F.col("ok"), "stale ref (compare-and-swap failed)"))
-    long_reason = F.when(F.octet_length("ref") > S.MAX_REF_NAME_BYTES, "funny refname (too long to store)").otherwise(F.col("reason"))
+        done = done.withColumn("reason", F.when(~F.col("ok"), S.STALE_REF))
+    long_reason = F.when(F.octet_length("ref") > S.MAX_REF_NAME_BYTES, S.LONG_REF).otherwise(F.col("reason"))
     results = done.select("repo_id", "seq", "ref", "op", "ok", "mutated", F.when(~F.col("ok"), long_reason).alias("reason"))
     last = done.where("ok").groupBy("repo_id", "ref").agg(F.max_by("value", "seq").alias("oid"), F.bool_or("mutated").alias("mutated"))
     changed = last.where("mutated").select("repo_id", F.col("ref").alias("name"), "oid")

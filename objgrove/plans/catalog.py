@@ -151,9 +151,12 @@ def tree_blobs(spark, sf_dir):
     return O.tree_blobs(C.without_blobs(spark, sf_dir)).distinct()
 
 
-@query(_corpus("SELECT type, count(*) AS objects, 0::BIGINT AS malformed FROM git_object GROUP BY type"))
+@query(_corpus("SELECT type, CASE WHEN type = 3 THEN 1 ELSE 2 END * count(*) AS objects, CASE WHEN type = 3 THEN 0 ELSE count(*) END::BIGINT AS malformed FROM git_object GROUP BY type"))
 def validation(spark, sf_dir):
+    """Every object, and of each but blobs a malformed copy: trees cut by a byte, commits and tags without their first header."""
     o = C.objects(spark, sf_dir)
+    cut_off = F.when(F.col("type") == S.TREE, F.substring("content", F.lit(1), F.octet_length("content") - 1)).otherwise(F.encode(F.regexp_replace(F.decode("content", "ISO-8859-1"), "^[^\\n]*\\n", ""), "ISO-8859-1"))
+    o = o.select("type", "content").unionByName(o.where(F.col("type") != S.BLOB).select("type", cut_off.alias("content")))
     return o.groupBy(F.col("type").cast("int").alias("type")).agg(F.count("*").alias("objects"), F.count(O.validation_code("type", "content")).alias("malformed"))
 
 
@@ -266,13 +269,14 @@ def ref_prefix(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    """Orders as refs: every second key exists; status F updates (every third of them stale), O creates, P deletes, and every
-    fifth key has a second command that updates from the first one's new id."""
+    """Orders as refs: every second key exists; status F updates (every third of them stale), O creates, P deletes (stale like
+    updates, but every seventh unconditionally), and every fifth key has a second command that updates from the first one's
+    new id."""
     o = C.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 10 + 1).alias("repo_id"), F.concat(F.lit("refs/heads/o"), "o_orderkey").alias("ref"))
     h = lambda x: F.sha1(F.concat(F.lit(x), F.col("o_orderkey").cast("string")).cast("binary"))
     none = F.lit(None).cast("string")
     refs = o.where("o_orderkey % 2 = 0").select("repo_id", F.col("ref").alias("name"), h("a").alias("oid"), none.alias("peeled_oid"), none.alias("symref_target"))
-    old = F.when(F.col("o_orderstatus") == "O", S.ZERO).when(F.col("o_orderkey") % 3 == 0, h("x")).otherwise(h("a"))
+    old = F.when((F.col("o_orderstatus") == "O") | (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 7 == 0), S.ZERO).when(F.col("o_orderkey") % 3 == 0, h("x")).otherwise(h("a"))
     first = o.select("repo_id", (F.col("o_orderkey") * 2).alias("seq"), "ref", old.alias("old_oid"), F.when(F.col("o_orderstatus") == "P", S.ZERO).otherwise(h("b")).alias("new_oid"))
     second = o.where("o_orderkey % 5 = 0").select("repo_id", (F.col("o_orderkey") * 2 + 1).alias("seq"), "ref", h("b").alias("old_oid"), h("c").alias("new_oid"))
     return refs, first.unionByName(second)
@@ -280,8 +284,8 @@ def _batch(spark, sf_dir):
 
 _CAS = """
 WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_custkey % 10 + 1 AS repo_id, 'refs/heads/o' || o_orderkey AS ref, o_orderkey % 2 = 0 AS have FROM orders),
-s1 AS (SELECT *, CASE st WHEN 'P' THEN TRUE WHEN 'O' THEN NOT have ELSE have AND k % 3 <> 0 END AS ok1 FROM o),
-s2 AS (SELECT *, CASE WHEN st = 'P' THEN NULL WHEN ok1 THEN 'b' WHEN have THEN 'a' END AS v1, ok1 AND (st <> 'P' OR have) AS m1 FROM s1),
+s1 AS (SELECT *, CASE WHEN st = 'P' AND k % 7 = 0 THEN TRUE WHEN st = 'O' THEN NOT have ELSE have AND k % 3 <> 0 END AS ok1 FROM o),
+s2 AS (SELECT *, CASE WHEN st = 'P' AND ok1 THEN NULL WHEN ok1 THEN 'b' WHEN have THEN 'a' END AS v1, ok1 AND (st <> 'P' OR have) AS m1 FROM s1),
 s3 AS (SELECT *, k % 5 = 0 AS two, k % 5 = 0 AND coalesce(v1 = 'b', FALSE) AS ok2 FROM s2),
 r AS (SELECT repo_id, k * 2 AS seq, ref, CASE st WHEN 'P' THEN 'delete' WHEN 'O' THEN 'create' ELSE 'update' END AS op, ok1 AS ok, m1 AS mutated FROM s3
       UNION ALL SELECT repo_id, k * 2 + 1, ref, 'update', ok2, ok2 FROM s3 WHERE two)
@@ -395,18 +399,23 @@ def drain_eligible(spark, sf_dir):
 
 
 @query(_ACTIVITY + """, o AS (SELECT user_id AS repo_id, event_id, ts AS created_at, event_type IN ('signup', 'click') AS live FROM events),
-dead AS (SELECT repo_id, count(*) AS n FROM o JOIN due USING (repo_id) WHERE NOT live AND created_at < TIMESTAMP '2024-01-20' GROUP BY repo_id)
-SELECT due.repo_id, coalesce(n, 0)::BIGINT AS deleted_objects, 0::BIGINT AS deleted_edges FROM due LEFT JOIN dead USING (repo_id)""")
+dead AS (SELECT repo_id, count(*) AS n FROM o JOIN due USING (repo_id) WHERE NOT live AND created_at < TIMESTAMP '2024-01-20' GROUP BY repo_id),
+orphans AS (SELECT repo_id, count(*) AS m FROM o WHERE event_id % 3 = 0 GROUP BY repo_id)
+SELECT due.repo_id, coalesce(n, 0)::BIGINT AS deleted_objects, (coalesce(n, 0) + coalesce(m, 0))::BIGINT AS deleted_edges FROM due LEFT JOIN dead USING (repo_id) LEFT JOIN orphans USING (repo_id)""")
 def drain_summary(spark, sf_dir):
-    """Events as objects, of which sign-ups and clicks are referenced; one pass over all users who are due."""
+    """Events as objects, of which sign-ups and clicks are referenced; one pass over all users who are due.
+
+    Every event has an edge to its user, and every third one an orphan edge whose parent is gone."""
     e = C.table(spark, sf_dir, "events")
     name, none = F.col("event_id").cast("string"), F.lit(None).cast("string")
     o = e.select(F.col("user_id").alias("repo_id"), name.alias("oid"), F.col("ts").cast("timestamp").alias("created_at"))
     refs = e.where("event_type in ('signup', 'click')").select(F.col("user_id").alias("repo_id"), name.alias("name"), name.alias("oid"), none.alias("peeled_oid"), none.alias("symref_target"))
-    edges = spark.createDataFrame([], "repo_id long, parent string, child string, kind short")
+    child = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    edges = e.select(F.col("user_id").alias("repo_id"), name.alias("parent"), child.alias("child"), F.lit(5).cast("short").alias("kind"))
+    edges = edges.unionByName(e.where("event_id % 3 = 0").select(F.col("user_id").alias("repo_id"), F.concat(F.lit("gone:"), name).alias("parent"), child.alias("child"), F.lit(5).cast("short").alias("kind")))
     repos = activity(e).select(F.col("repo_id").alias("id"), F.col("repo_id").cast("string").alias("name"), F.col("last_pushed_at").cast("timestamp").alias("last_pushed_at"), F.col("last_gc_at").cast("timestamp").alias("last_gc_at"))
     state = {"repos": repos, "git_object": o, "git_edge": edges, "git_ref": refs}
-    blobs = edges.select("repo_id", F.col("parent").alias("tree"), F.col("child").alias("oid"))
+    blobs = spark.createDataFrame([], "repo_id long, tree string, oid string")
     return collect.drain(state, blobs, F.lit("2024-01-20 00:00:00").cast("timestamp"), 0)[1].select("repo_id", "deleted_objects", "deleted_edges")
 
 

@@ -25,6 +25,13 @@ BRANCHES = "refs/heads/"
 DEFAULT_HEAD = ("HEAD", "refs/heads/main")
 MAX_REF_NAME_BYTES = 2000
 
+# fixed values: what a report says of a command that failed
+LONG_REF = "funny refname (too long to store)"
+STALE_REF = "stale ref (compare-and-swap failed)"
+ATOMIC_FAILED = "atomic transaction failed"
+MISSING_OBJECTS = "missing necessary objects"
+UNPACKER_ERROR = "unpacker error"
+
 # fixed values: the error codes of malformed data
 CODES = (
     "bad-magic", "unsupported-version", "trailer-mismatch", "unknown-object-type", "size-mismatch", "trailing-bytes", "unresolved-base", "inflate-failed",

@@ -69,6 +69,13 @@ def _size(delta: bytes, at: int) -> tuple[int, int]:
 
 
 def apply_delta(base: bytes, delta: bytes) -> bytes:
+    try:
+        return _applied(base, delta)
+    except IndexError:
+        raise FormatError("delta-target-size-mismatch", "the delta ends early") from None
+
+
+def _applied(base: bytes, delta: bytes) -> bytes:
     source, at = _size(delta, 0)
     target, at = _size(delta, at)
     if source != len(base):
@@ -101,15 +108,19 @@ def write_pack(objects: list[tuple[str, bytes]]) -> bytes:
     return data + hashlib.sha1(data).digest()
 
 
-def _inflated(pack: bytes, at: int, end: int) -> tuple[bytes, int]:
-    d = zlib.decompressobj()
+def _inflated(pack: bytes, at: int, end: int, size: int = 0) -> tuple[bytes, int]:
+    """(content, where the next entry starts). Slices go in one by one, so that no entry copies the rest of the pack."""
+    d, view, out, step = zlib.decompressobj(), memoryview(pack), [], min(size + 64, SLICE)
     try:
-        out = d.decompress(memoryview(pack)[at:end])
+        while not d.eof and at < end:
+            part = view[at : min(end, at + step)]
+            out.append(d.decompress(part))
+            at, step = at + len(part), SLICE
     except zlib.error as e:
         raise FormatError("inflate-failed", str(e)) from None
     if not d.eof:
         raise FormatError("inflate-failed", "the stream ends early")
-    return out, end - len(d.unused_data)
+    return b"".join(out), at - len(d.unused_data)
 
 
 def read_pack(pack: bytes, external: Callable[[str], tuple[str, bytes] | None] = lambda oid: None) -> list[tuple[str, bytes]]:
@@ -141,7 +152,7 @@ def read_pack(pack: bytes, external: Callable[[str], tuple[str, bytes] | None] =
                 raise FormatError("unknown-object-type", str(code))
         except IndexError:
             raise FormatError("inflate-failed", "the pack ends early") from None
-        data, at = _inflated(pack, at, end)
+        data, at = _inflated(pack, at, end, size)
         if base is None and len(data) != size:
             raise FormatError("size-mismatch", f"{len(data)} for {size}")
         entries.append((code, base, data))
@@ -184,14 +195,14 @@ def external_bases(pack: bytes) -> list[str]:
     """The ids that a pack's deltas name and that no undeltified entry of it has."""
     bases, own, at, end = [], set(), 12, len(pack) - 20
     for _ in range(struct.unpack(">I", pack[8:12])[0]):
-        code, _, at = read_header(pack, at)
+        code, size, at = read_header(pack, at)
         base = None
         if code == S.OFS_DELTA:
             base, at = read_offset(pack, at)
         elif code == S.REF_DELTA:
             base, at = pack[at : at + 20].hex(), at + 20
             bases.append(base)
-        data, at = _inflated(pack, at, end)
+        data, at = _inflated(pack, at, end, size)
         if base is None:
             own.add(object_id(S.TYPE_NAMES[code], data))
     return sorted(set(bases) - own)
@@ -199,6 +210,8 @@ def external_bases(pack: bytes) -> list[str]:
 
 #: Bytes of one of a repository's several packs.
 PACK_BYTES = 16 << 20
+#: Bytes that are inflated at a time.
+SLICE = 1 << 16
 PARSED = "repo_id long, ordinal long, type short, oid string, size int, content binary, error string"
 
 
@@ -240,18 +253,8 @@ def _safe_bases(pack: bytes) -> list[str]:
 
 
 def packed(objects: DataFrame) -> DataFrame:
-    """(repo_id, type, content) to one pack a repository (repo_id, pack), objects by id. A pack is one cell, of 2 GB at most."""
-
-    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            entries = [write_header(t, len(c)) + zlib.compress(c) for t, c in zip(b.column("type").to_pylist(), b.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("repo_id"), b.column("oid"), pa.array(entries, pa.binary())], ["repo_id", "oid", "entry"])
-
-    entries = objects.select("repo_id", "oid", "type", "content").mapInArrow(deflate, "repo_id long, oid string, entry binary")
-    packs = entries.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("oid", "entry"))).alias("e"))
-    size = F.unhex(F.lpad(F.hex(F.size("e")), 8, "0"))
-    body = F.concat(F.lit(bytearray(b"PACK\0\0\0\2")), size, F.aggregate("e", F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["entry"])))
-    return packs.select("repo_id", body.alias("b")).select("repo_id", F.concat("b", F.unhex(F.sha1("b"))).alias("pack"))
+    """(repo_id, oid, type, content) to one pack a repository (repo_id, pack), objects by id. A pack is one cell, of 2 GB at most."""
+    return _written(objects.select("repo_id", "oid", "type", "content").repartition("repo_id").sortWithinPartitions("repo_id", "oid"), None)
 
 
 def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
@@ -260,6 +263,11 @@ def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
     Tasks take ranges of (repository, id) and close a pack at the limit or the repository's end, so a repository of any
     size is whole in several packs, and a task holds one at a time.
     """
+    return _written(objects.select("repo_id", "oid", "type", "content").repartitionByRange("repo_id", "oid").sortWithinPartitions("repo_id", "oid"), limit)
+
+
+def _written(dealt: DataFrame, limit: int | None) -> DataFrame:
+    """Rows by repository to packs of up to a limit."""
 
     def pack(entries: list[bytes]) -> bytes:
         data = b"".join([b"PACK", struct.pack(">II", 2, len(entries)), *entries])
@@ -275,7 +283,7 @@ def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
             for r, code, content in zip(b.column("repo_id").to_pylist(), b.column("type").to_pylist(), b.column("content"), strict=True):
                 content = content.as_py()
                 entry = write_header(code, len(content)) + zlib.compress(content)
-                if entries and (r != repo or size + len(entry) > limit):
+                if entries and (r != repo or limit and size + len(entry) > limit):
                     yield closed()
                     entries, size = [], 0
                 repo, size = r, size + len(entry)
@@ -283,5 +291,4 @@ def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
         if entries:
             yield closed()
 
-    dealt = objects.select("repo_id", "oid", "type", "content").repartitionByRange("repo_id", "oid").sortWithinPartitions("repo_id", "oid")
     return dealt.mapInArrow(write, "repo_id long, pack binary")
