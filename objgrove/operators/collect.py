@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from objgrove.lineage import cut
@@ -21,6 +21,12 @@ def victims(objects: DataFrame, live: DataFrame, now: Column, grace_seconds: int
     return objects.where(old).join(live.select("repo_id", "oid"), ["repo_id", "oid"], "left_anti")
 
 
+def victim_batches(dead: DataFrame, batch_limit: int) -> DataFrame:
+    """(repo_id, oid) with the batch of up to batch_limit objects that each goes with, by id within a repository."""
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("oid")) - 1
+    return dead.select("repo_id", "oid").withColumn("batch", F.floor(rank / batch_limit).cast("long"))
+
+
 def sweep(objects: DataFrame, edges: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(objects, edges) without the dead, and without edges whose parent is gone."""
     kept = objects.join(dead.select("repo_id", "oid"), ["repo_id", "oid"], "left_anti")
@@ -32,13 +38,14 @@ def due(repos: DataFrame) -> DataFrame:
     return repos.where("last_pushed_at is not null and (last_gc_at is null or last_pushed_at > last_gc_at)")
 
 
-def drain(tables: dict[str, DataFrame], blobs: DataFrame, now: Column, grace_seconds: int, enabled: bool = True, strategy: str = "auto") -> tuple[dict[str, DataFrame], DataFrame]:
-    """One pass over all repositories that are due, as one job: (new tables, summary by repository).
+def drain(tables: dict[str, DataFrame], blobs: DataFrame, now: Column, grace_seconds: int, enabled: bool = True, strategy: str = "auto", only: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One pass over all repositories that are due, or those of `only` (id) among them, as one job: (new tables, summary).
 
     `now`, taken before the tables are read, is what last_gc_at becomes, so a later push makes a repository due again.
     """
     repos, objects, edges, refs = (tables[k] for k in ("repos", "git_object", "git_edge", "git_ref"))
-    ready = cut(due(repos).select(F.col("id").alias("repo_id"), "name")) if enabled else cut(repos.limit(0).select(F.col("id").alias("repo_id"), "name"))
+    asked = repos if only is None else repos.join(only, "id", "left_semi")
+    ready = cut(due(asked).select(F.col("id").alias("repo_id"), "name")) if enabled else cut(repos.limit(0).select(F.col("id").alias("repo_id"), "name"))
     mine = lambda df: df.join(ready.select("repo_id"), "repo_id", "left_semi")
     live = live_set(mine(objects), mine(edges), mine(refs), mine(blobs), strategy)
     dead = cut(victims(mine(objects), live, now, grace_seconds).select("repo_id", "oid"))
@@ -58,5 +65,3 @@ def collect_one(objects, edges, refs, blobs, now: Column, grace_seconds: int, st
     """A pass over the given rows whatever their activity: (objects, edges)."""
     live = live_set(objects, edges, refs, blobs, strategy)
     return sweep(objects, edges, cut(victims(objects, live, now, grace_seconds).select("repo_id", "oid")))
-
-

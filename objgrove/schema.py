@@ -13,6 +13,20 @@ FILES = "repo_id long, ref_name string, path string, mode string, blob_oid strin
 TABLES = {"repos": REPOS, "git_object": OBJECTS, "git_ref": REFS, "git_edge": EDGES, "repo_file": FILES}
 KEYS = {"repos": ["name"], "git_object": ["repo_id", "oid"], "git_ref": ["repo_id", "name"], "git_edge": ["repo_id", "parent", "child"], "repo_file": ["repo_id", "ref_name", "path"]}
 
+#: The version of the stored layout, and what takes a manifest of each older one a version on.
+VERSION = 2
+MIGRATIONS = {1: lambda old: {"schema": 2, "tables": {name: [path] if isinstance(path, str) else list(path) for name, path in old.get("tables", old).items() if name != "schema"}}}
+
+
+def migrated(manifest: dict) -> dict:
+    """A manifest as this version writes it; one of a newer version is refused."""
+    while (at := manifest.get("schema", 1)) != VERSION:
+        if at not in MIGRATIONS:
+            raise ValueError(f"the store has layout {at}, this is {VERSION}")
+        manifest = MIGRATIONS[at](manifest)
+    return manifest
+
+
 # fixed values: type codes, edge kinds and modes of the stored format
 COMMIT, TREE, BLOB, TAG = 1, 2, 3, 4
 OFS_DELTA, REF_DELTA = 6, 7

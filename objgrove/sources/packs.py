@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objgrove import schema as S
+from objgrove.lineage import cut
 from objgrove.schema import FormatError
 
 
@@ -257,6 +258,24 @@ def packed(objects: DataFrame) -> DataFrame:
     return _written(objects.select("repo_id", "oid", "type", "content").repartition("repo_id").sortWithinPartitions("repo_id", "oid"), None)
 
 
+def streamed(objects: DataFrame) -> Iterator[bytes]:
+    """One pack of (repo_id, oid, type, content) in pieces: tasks deflate, and the driver holds a partition of entries at a time."""
+
+    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            entries = [write_header(t, len(c)) + zlib.compress(c) for t, c in zip(b.column("type").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.binary())], ["entry"])
+
+    chosen = cut(objects.select("oid", "type", "content"))
+    digest, head = hashlib.sha1(), b"PACK" + struct.pack(">II", 2, chosen.count())
+    digest.update(head)
+    yield head
+    for r in chosen.orderBy("oid").select("type", "content").mapInArrow(deflate, "entry binary").toLocalIterator():
+        digest.update(r[0])
+        yield bytes(r[0])
+    yield digest.digest()
+
+
 def packed_in_parts(objects: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
     """(repo_id, oid, type, content) to packs (repo_id, pack) of about `limit` bytes, or of one object where that is larger.
 

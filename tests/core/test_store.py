@@ -123,6 +123,80 @@ def test_views_of_old_versions_and_tenants(spark, tmp_path):
     assert store.read(before)["git_object"].count() == 0 and store.get("b", packs.object_id("blob", b"x")) is None
 
 
+def test_a_push_writes_and_reads_its_own_part(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    a, b = store.ensure_repo("a"), store.ensure_repo("b")
+    assert len(store.parts_of([a, b])) == 2
+    row = lambda repo, data: spark.createDataFrame([(repo, S.BLOB, bytearray(data))], "repo_id long, type int, content binary")
+    store.put(row(a, b"x"), F.lit(T0))
+    store.put(row(b, b"y"), F.lit(T0))
+    before = store._manifest(store.version())["git_object"]
+    store.put(row(b, b"z" * 1000), F.lit(T0))
+    after = store._manifest(store.version())["git_object"]
+    new = [p for p in after if p not in before]
+    assert before == [p for p in after if p in before] and {int(p.rsplit("=")[1]) for p in new} == store.parts_of([b])
+    assert sum(spark.read.parquet(f"{store.root}/{p}").count() for p in new) == 1
+    scanned = store.of(b)["git_object"].inputFiles()
+    assert scanned and not any(f"part={p}/" in f for f in scanned for p in store.parts_of([a]))
+    assert store.of(b)["git_object"].count() == 2 and store.get("a", packs.object_id("blob", b"x")) == ("blob", b"x")
+    store.compact()
+    assert len(store._manifest(store.version())["git_object"]) == 2 and store.read()["git_object"].count() == 3
+    assert store.expire(keep=1, min_age_seconds=0) > 0 and store.versions() == [store.version()]
+    assert store.read()["git_object"].count() == 3 and not list(tmp_path.glob("s/.aside*"))
+
+
+def test_manifests_appear_whole_and_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store._publish(1, '{"schema": 2, "tables": {}}')
+    with pytest.raises(Conflict):
+        store._publish(1, "{}")
+    store._fs.create(store._path(f"{store.root}/.one"), False).close()
+    store._rename(f"{store.root}/.one", f"{store.root}/two")
+    store._fs.create(store._path(f"{store.root}/.one"), False).close()
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        store._rename(f"{store.root}/.one", f"{store.root}/two")
+    assert S.migrated({"repos": "data/x/repos"}) == {"schema": 2, "tables": {"repos": ["data/x/repos"]}}
+    with pytest.raises(ValueError):
+        S.migrated({"schema": 99, "tables": {}})
+
+
+def test_one_bad_repository_does_not_stop_a_pass(spark, tmp_path, monkeypatch):
+    from objgrove.operators import collect
+
+    store, failed = Store(spark, f"file://{tmp_path}/s"), []
+    ids = [store.ensure_repo(n) for n in ("a", "bad", "c")]
+    store.put(spark.createDataFrame([(i, S.BLOB, bytearray(b"x%d" % i)) for i in ids], "repo_id long, type int, content binary"), F.lit(T0))
+    drain = collect.drain
+
+    def poisoned(*args, only, **kw):
+        if ids[1] in [r[0] for r in only.collect()]:
+            raise RuntimeError("poison")
+        return drain(*args, only=only, **kw)
+
+    monkeypatch.setattr(collect, "drain", poisoned)
+    later = F.lit(T0 + dt.timedelta(days=1))
+    got = store.gc(later, 0, on_error=lambda repo, e: failed.append((repo, str(e))))
+    assert sorted((r["repo"], r["deleted_objects"]) for r in got.collect()) == [("a", 1), ("c", 1)] and failed == [(ids[1], "poison")]
+    monkeypatch.setattr(collect, "drain", drain)
+    assert [(r["repo"], r["deleted_objects"]) for r in store.gc(later, 0, maintain=True).collect()] == [("bad", 1)]
+    dead = spark.createDataFrame([(1, f"{i:02d}") for i in range(5)] + [(2, "x")], "repo_id long, oid string")
+    assert sorted(tuple(r) for r in collect.victim_batches(dead, 2).collect()) == [(1, "00", 0), (1, "01", 0), (1, "02", 1), (1, "03", 1), (1, "04", 2), (2, "x", 0)]
+
+
+def test_stale_deletes_fail(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rid, one = store.ensure_repo("r"), packs.object_id("blob", b"x")
+    store.put(spark.createDataFrame([(rid, S.BLOB, bytearray(b"x"))], "repo_id long, type int, content binary"), F.lit(T0))
+    ref, at = "refs/tags/t", F.lit(T0)
+    assert store.push("r", request([(S.ZERO, one, ref)]), at) == wire.report("ok", [(ref, True, None)])
+    assert store.push("r", request([("b" * 40, S.ZERO, ref)]), at) == wire.report("ok", [(ref, False, S.STALE_REF)])
+    assert store.push("r", request([("b" * 40, S.ZERO, "refs/tags/none")]), at) == wire.report("ok", [("refs/tags/none", False, S.STALE_REF)])
+    assert store.push("r", request([(S.ZERO, S.ZERO, "refs/tags/none")]), at) == wire.report("ok", [("refs/tags/none", True, None)])
+    assert [r["oid"] for r in store.of(rid)["git_ref"].where(F.col("name") == ref).collect()] == [one]
+    assert store.push("r", request([(one, S.ZERO, ref)]), at) == wire.report("ok", [(ref, True, None)])
+    assert store.of(rid)["git_ref"].where(F.col("name") == ref).isEmpty()
+
+
 def test_streaming_packets_and_drain(spark, tmp_path):
     from objgrove.streaming.drains import packets, start_drain
 
