@@ -470,3 +470,73 @@ def pack_round_trip(spark, sf_dir):
 
     back = packs.parsed(packs.packed_in_parts(C.objects(spark, sf_dir)))
     return back.where(~F.col("type").eqNullSafe(S.BLOB)).groupBy("repo_id", O.type_name("type").alias("type")).agg(F.count_distinct("oid").alias("objects"))
+
+
+@query(_sales([_walk("c", _values(["region:1"]))], "SELECT oid FROM c"))
+def closure_frontier(spark, sf_dir):
+    """The walk that large repositories take, a join a level, whatever this one's size."""
+    return graph.closure(C.sales_edges(spark, sf_dir), _nodes(spark, ["region:1"]), strategy="frontier").select("oid")
+
+
+@query("SELECT doc_id, greatest(0, ceil(strlen(coalesce(text, '')) / 65514.0))::BIGINT AS packets, md5(coalesce(text, '')) AS digest FROM documents")
+def side_band_round_trip(spark, sf_dir):
+    """Every text in side-band packets, decoded again and joined."""
+    d = C.table(spark, sf_dir, "documents")
+    d = d.select("doc_id", wire.packets_column(wire.band_column(F.coalesce("text", F.lit("")).cast("binary"), 1)).alias("p"))
+    parts = F.transform("p.packets", lambda x: F.hex(F.substring(x["payload"], F.lit(2), F.octet_length(x["payload"]) - 1)))
+    return d.select("doc_id", F.size("p.packets").cast("long").alias("packets"), F.md5(F.unhex(F.array_join(parts, ""))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '') || '!' || coalesce(text, '')) AS digest FROM documents")
+def delta_apply(spark, sf_dir):
+    """A delta that copies its base twice, with a byte between; copies are of 65,535 bytes at most."""
+    from objgrove.functions.register import register
+
+    register(spark)
+    d = C.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("base")).withColumn("n", F.octet_length("base"))
+    low = lambda x, at: F.lpad(F.hex(F.shiftright(x, at).bitwiseAND(255)), 2, "0")
+    # a size, seven bits at a time, in five bytes; a copy with three bytes of its start and two of its length
+    size = lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 7 * i).bitwiseAND(127).bitwiseOR(128 if i < 4 else 0)), 2, "0") for i in range(5)])
+    step = 65_535
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    one = lambda a: F.concat(F.lit("B7"), low(a, 0), low(a, 8), low(a, 16), low(F.least(F.lit(step), F.col("n") - a), 0), low(F.least(F.lit(step), F.col("n") - a), 8))
+    copies = F.array_join(F.transform(starts, one), "")
+    delta = F.unhex(F.concat(size(F.col("n")), size(2 * F.col("n") + 1), copies, F.lit("0121"), copies))
+    return d.select("doc_id", F.md5(F.call_function("apply_delta", "base", delta)).alias("digest"))
+
+
+@query("SELECT row_number() OVER (ORDER BY name) + 2 AS id, name FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL AND source NOT IN ('known', 'other')) UNION ALL VALUES (1, 'known'), (2, 'other')")
+def ensure_repo_ids(spark, sf_dir):
+    """Every source as a repository beside two that are there; new ids follow the largest one."""
+    known = spark.createDataFrame([(1, "known", None, None), (2, "other", None, None)], S.REPOS)
+    names = C.table(spark, sf_dir, "documents").select(F.col("source").alias("name")).unionByName(known.select("name"))
+    return tables.ensure_repos(known, names).select("id", "name")
+
+
+_BODIES = [
+    ("listing", True, lambda: wire.line("command=ls-refs\n") + wire.DELIM + wire.line("peel\n") + wire.FLUSH),
+    ("capability first", True, lambda: wire.line("agent=x") + wire.line("command=ls-refs") + wire.FLUSH),
+    ("sha256 first", False, lambda: wire.line("object-format=sha256") + wire.line("command=ls-refs") + wire.FLUSH),
+    ("sha256 last", False, lambda: wire.line("command=ls-refs") + wire.line("object-format=sha256") + wire.FLUSH),
+    ("no command", False, lambda: wire.line("agent=x") + wire.FLUSH),
+    ("ends inside a packet", False, lambda: wire.line("command=ls-refs") + wire.FLUSH + b"00"),
+    ("ends inside a payload", False, lambda: wire.line("command=ls-refs") + b"0010peel"),
+    ("length is not a number", False, lambda: b"zzzz"),
+    ("length of three", False, lambda: b"0003"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, {ok} AS accepted" for name, ok, _ in _BODIES))
+def request_guards(spark, sf_dir):
+    """Well-formed and malformed requests, and which the parser takes."""
+    from pyspark.sql.types import BooleanType
+
+    def taken(body) -> bool:
+        try:
+            wire.parse_request(bytes(body))
+        except S.ProtocolError:
+            return False
+        return True
+
+    rows = spark.createDataFrame([(name, bytearray(body())) for name, _, body in _BODIES], "name string, body binary")
+    return rows.select("name", F.udf(taken, BooleanType())("body").alias("accepted"))
