@@ -113,8 +113,10 @@ def test_reference_batches(spark, atomic):
     for r, s, ref, old, new in sorted(commands, key=lambda c: c[1]):
         now = after.get((r, ref))
         if new == S.ZERO:
-            want[r, s] = (True, now is not None)
-            after.pop((r, ref), None)
+            ok = old == S.ZERO or now == old  # a delete that names an old value compares it
+            want[r, s] = (ok, ok and now is not None)
+            if ok:
+                after.pop((r, ref), None)
         else:
             ok = now is None if old == S.ZERO else now == old
             want[r, s] = (ok, ok)
