@@ -46,6 +46,24 @@ def test_index_streams_windows():
     assert index.smallest(queries, -1).tolist() == want
 
 
+def test_memory_follows_runs():
+    """A hundred near copies of a text take little more than the text, and the samples of the run ends are the answers."""
+    rng = random.Random(5)
+    base = bytes(rng.choices(b"abcdefgh ", k=3000))
+    copies = [base[:at] + b"!" + base[at + 1 :] for at in rng.sample(range(3000), 100)]
+    one, many = RunIndex([base], np.array([7])), RunIndex([base, *copies], np.arange(100, -1, -1))
+    assert many.n > 100 * one.n and many.nbytes < 6 * one.nbytes
+    assert many.smallest([base], -1).tolist() == [next(100 - i for i in range(100, -1, -1) if base[a : a + MATCH] in [base, *copies][i]) for a in range(3000 - MATCH + 1)]
+    many.samples = many.samples + 1000
+    assert min(many.smallest([base], -1)) >= 1000
+
+
+def test_ties_and_segments_without_windows():
+    assert RunIndex([b"short", b""], np.array([1, 2])).smallest([b"x" * 60], -1).tolist() == [-1] * 11
+    index = RunIndex([b"x" * 60, b"x" * 50, b"y" + b"x" * 60], np.array([5, 5, 3]))
+    assert index.smallest([b"x" * 51 + b"y", b"y" + b"x" * 49], -1).tolist() == [3, 3, -1, 3]
+
+
 def test_documents_against_brute_force(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert sorted((tuple(r) for r in suffix.removals(d).collect()), key=str) == brute([tuple(r) for r in d.collect()])
