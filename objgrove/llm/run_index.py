@@ -36,6 +36,7 @@ def rows_sorted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     rank, done = np.zeros(n + DEPTH, np.int64), STEP  # a row's rank is the first row of its group, from 1 on
     rank[order] = np.repeat(first, np.diff(np.r_[first, n])) + 1
+    del key, k, first
     slots = np.arange(n)
     while True:
         r = rank[order[slots]]
@@ -55,7 +56,7 @@ def rows_sorted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank[at] = ranks
         done += step
     order[slots] = at[np.argsort(rank[at] * (n + 1) - at)]
-    return order, np.flatnonzero(rank[order] == np.arange(1, n + 1))
+    return order.astype(np.int32), np.flatnonzero(rank[order] == np.arange(1, n + 1)).astype(np.int32)
 
 
 class RunIndex:
@@ -75,24 +76,24 @@ class RunIndex:
         opens = np.zeros(self.n, bool)
         opens[first] = True
         edge = opens | np.r_[True, last[1:] != last[:-1]]
-        starts = np.flatnonzero(edge)
-        sizes = np.diff(np.r_[starts, self.n])
-        heads, tops = last[starts].astype(np.int64), order[starts + sizes - 1]
+        starts = np.flatnonzero(edge).astype(np.int32)
+        sizes = np.diff(starts, append=np.int32(self.n))
+        heads, tops = last[starts], order[starts + sizes - 1]
         interval_of, segment_of = _numbers(opens), np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
         # runs by symbol; the rows of smaller symbols and of the same before a run are where its backward step leads
-        by = np.argsort(last[starts], kind="stable")
+        by = np.argsort(heads, kind="stable")
         leads = interval_of[np.cumsum(sizes[by]) - sizes[by]]
         # intervals whose context runs past its segment have no window, and no window begins before a segment
         at = order[first]
+        del order, last, sizes, opens
         whole = ends[segment_of[at]] - at >= DEPTH
         use = whole[interval_of[starts]] & (heads != END)
         kept, run = by[use[by]], _numbers(use)
         self.runs = len(kept)
         #: each interval's first run
-        before = np.cumsum(use) - use
-        self.first = np.r_[before[_numbers(edge)[first]][whole], self.runs].astype(np.int32)
+        self.first = np.r_[(run + ~use)[_numbers(edge)[first[whole]]], self.runs].astype(np.int32)
         #: by symbol and row: the run's key, the value at its sampled end, and the interval that it leads to
-        self.keys = heads[kept] * (self.runs + 1) + run[kept]
+        self.keys = heads[kept].astype(np.int64) * (self.runs + 1) + run[kept]
         self.samples = values[segment_of[tops[kept]]]
         self.leads = _numbers(whole)[leads[use[by]]]
         # intervals by the hash of their context, for windows that no step leads to
