@@ -2,8 +2,8 @@
 
 A run-length index over the whole corpus would be one machine's, so the corpus is cut so that no match is lost. Every
 window of MATCH bytes has a minimizer, the smallest hash of its GRAM-byte strings; equal windows have equal minimizers, and
-windows in a row that share one are a segment. Steps, each a job over the units (row groups of files, so bounded in rows
-and in bytes) of a stored copy of the corpus:
+windows in a row that share one are a segment. Steps, each a job over the units (successive rows of a file, bounded in
+number and in bytes of text, whatever these take when stored) of a stored copy of the corpus:
 
 1. The minimizers' hashes are dealt by value, five bytes each, and those of two documents or more are told back to the
    units that have them. Segments whose minimizer is in one document only have no match.
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from objgrove.llm.words import mix, prefix
 
 GRAM = 20
 SPAN = MATCH - GRAM + 1
-#: Rows of a file and bytes of a unit, about.
-UNIT_ROWS, UNIT_BYTES = 20_000, 64 << 20
+#: Rows of a file; bytes of a unit's text, more only for a single text, and of a row group as stored; rows that are read at a time.
+UNIT_ROWS, UNIT_BYTES, READ_ROWS = 20_000, 16 << 20, 200
 #: Text bytes for a bucket of hashes and for one of segments; buckets are as many as the corpus needs.
 HASH_BUCKET, SEGMENT_BUCKET = 24 << 20, 2 << 20
 #: Documents of a unit that make a minimizer hot.
@@ -45,8 +46,8 @@ HOT = 64
 ROW_BYTES = 4 << 20
 NULL_ID = -(2**63)
 REST_BITS = 38
-#: A unit's number has its file's above that of its row group; a file has UNIT_ROWS row groups at most.
-GROUP_BITS = 16
+#: A unit's number has its file's above its own in the file; a file has UNIT_ROWS units at most.
+PART_BITS = 16
 
 
 def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +75,36 @@ def _grams(b: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n])
 
 
+def documents(rows: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for b in rows:
+        for doc, text in zip(b.column("__id").to_pylist(), b.column("__text"), strict=True):
+            yield doc, text.as_py().encode("utf-8", "surrogatepass")
+
+
+def _parts(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number of its unit in the file, rows); a text that would take a unit over so many bytes begins the next one.
+
+    Only rows and their order count, so that every job cuts a file at the same places.
+    """
+    import pyarrow.compute as pc
+
+    unit = size = 0
+    for b in batches:
+        lo = 0
+        for i, n in enumerate(pc.binary_length(b.column("__text")).to_pylist()):
+            if size and size + n > most:
+                if i > lo:
+                    yield unit, b.slice(lo, i - lo)
+                unit, size, lo = unit + 1, 0, i
+            size += n
+        yield unit, b.slice(lo)
+
+
 class Corpus:
     """The stored copy: what every job needs to read its unit."""
 
     def __init__(self, folder: str, paths: list[str], size: int):
-        self.folder, self.paths = folder, paths
+        self.folder, self.paths, self.unit_bytes = folder, paths, UNIT_BYTES
         buckets = lambda each: int(max(1, size // each))
         self.hash_buckets, self.segment_buckets = buckets(HASH_BUCKET), buckets(SEGMENT_BUCKET)
 
@@ -96,46 +122,34 @@ class Corpus:
         n = max(1, len(self.paths))
         return spark.range(0, len(self.paths), 1, n)
 
-    def units(self, batches: Iterator[pa.RecordBatch]) -> Iterator[int]:
-        """The units of a task's files, one after another."""
+    def units(self, batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("__id", "__text")) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+        """The units of a task's files, one after another, each with its rows, which are to be read before the next unit's."""
         import pyarrow.parquet as pq
 
         system, _ = open_fs(self.folder)
         for b in batches:
             for file in b.column(0).to_pylist():
                 with system.open_input_file(self.paths[file]) as f:
-                    n = pq.ParquetFile(f).num_row_groups
-                for i in range(n):
-                    yield file << GROUP_BITS | i
-                    trimmed()
-
-    def batches(self, unit: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-
-        system, _ = open_fs(self.folder)
-        with system.open_input_file(self.paths[unit >> GROUP_BITS]) as f:
-            yield from pq.ParquetFile(f).iter_batches(batch_size=1000, columns=columns, row_groups=[unit & (1 << GROUP_BITS) - 1])
-
-    def documents(self, unit: int) -> Iterator[tuple[int, bytes]]:
-        for b in self.batches(unit, ["__id", "__text"]):
-            for doc, text in zip(b.column("__id").to_pylist(), b.column("__text"), strict=True):
-                yield doc, text.as_py().encode("utf-8", "surrogatepass")
+                    rows = pq.ParquetFile(f).iter_batches(batch_size=READ_ROWS, columns=list(columns))
+                    for part, own in groupby(_parts(rows, self.unit_bytes), lambda x: x[0]):
+                        yield file << PART_BITS | part, (r for _, r in own)
+                        trimmed()
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Hashes as bucket and REST_BITS of the rest; two that share a code are only sent in vain."""
         n = np.uint64(self.hash_buckets)
         return (h % n) << np.uint64(REST_BITS) | (h // n) & np.uint64((1 << REST_BITS) - 1)
 
-    def hashes(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct codes of the unit's minimizers, 1: of two ids or more, 2: in HOT texts or more)."""
+    def hashes(self, rows: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct codes of a unit's minimizers, 1: of two ids or more, 2: in HOT texts or more)."""
         ids, values = [], []
-        for doc, raw in self.documents(unit):
-            m = np.unique(segments(raw)[2])
-            values.append(m)
-            ids.append(np.full(len(m), doc, np.int64))
+        for doc, raw in documents(rows):
+            values.append(np.unique(self.codes(segments(raw)[2])))
+            ids.append(doc)
         if not sum(map(len, values)):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        h, d = self.codes(np.concatenate(values)), np.concatenate(ids)
+        h, d = np.concatenate(values), np.repeat(np.array(ids, np.int64), [len(v) for v in values])
+        del values
         order = np.argsort(h)
         h, d = h[order], d[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -211,8 +225,8 @@ def _repeated_hashes(spark, corpus: Corpus) -> None:
     shape = "p int, unit long, blob binary"
 
     def deal(batches):
-        for unit in corpus.units(batches):
-            h, flags = corpus.hashes(unit)
+        for unit, rows in corpus.units(batches):
+            h, flags = corpus.hashes(rows)
             packed = (h & np.uint64((1 << REST_BITS) - 1)) << np.uint64(2) | flags
             five = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             for p, lo, hi in _runs(h >> np.uint64(REST_BITS)):
@@ -252,8 +266,8 @@ def _matches(spark, corpus: Corpus) -> None:
     shape = "q int, unit long, part int, ids binary, lengths binary, bytes binary"
 
     def send(batches):
-        for unit in corpus.units(batches):
-            whole = Sent(corpus, unit)
+        for unit, rows in corpus.units(batches):
+            whole = Sent(corpus, unit, rows)
             whole.keep()
             for q, part, ids, sent in whole.parts():
                 yield _row(shape, q, unit, part, ids.tobytes(), np.array([len(s) for s in sent], np.uint8).tobytes(), b"".join(sent))
@@ -301,11 +315,11 @@ class Sent:
     `found` keeps, of each document in turn, its segments' first windows and sizes, and which segments they are.
     """
 
-    def __init__(self, corpus: Corpus, unit: int):
+    def __init__(self, corpus: Corpus, unit: int, rows: Iterable[pa.RecordBatch]):
         self.corpus, self.unit = corpus, unit
         told, known, ids, buckets = corpus.told(unit), {}, [], []
         self.found: list[tuple[np.ndarray, ...]] = []
-        for doc, raw in corpus.documents(unit):
+        for doc, raw in documents(rows):
             start, size, bucket = corpus.repeated(raw, told)
             places = []
             for a, z, q in zip(start.tolist(), (start + size + MATCH - 1).tolist(), bucket.tolist(), strict=True):
@@ -398,9 +412,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     spark, corpus = docs.sparkSession, _indexed(docs, key, text, [])
 
     def read(batches):
-        for unit in corpus.units(batches):
+        for unit, texts in corpus.units(batches):
             mark, rows = Found(corpus, unit).mark, []
-            for i, (doc, raw) in enumerate(corpus.documents(unit)):
+            for i, (doc, raw) in enumerate(documents(texts)):
                 gone = mark(i, doc, len(raw))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
@@ -424,9 +438,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", chars
     kept = docs.select(whole_row(docs).alias("__row"), F.lit("").alias("__kept"))
 
     def read(batches):
-        for unit in corpus.units(batches):
+        for unit, parts in corpus.units(batches, ("__id", "__text", "__row")):
             mark, row = Found(corpus, unit).mark, 0
-            for rows in corpus.batches(unit):
+            for rows in parts:
                 out = []
                 for doc, t in zip(rows.column("__id").to_pylist(), rows.column("__text"), strict=True):
                     raw = t.as_py().encode("utf-8", "surrogatepass")

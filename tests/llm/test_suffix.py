@@ -109,3 +109,22 @@ def test_units_are_bounded_in_bytes(spark, monkeypatch):
     units = [u for b in corpus.files(spark).toArrow().to_batches() for u in corpus.units([b])]
     assert len(corpus.paths) == 1 and len(units) > 2
     assert sorted((tuple(r) for r in suffix.removals(df).collect()), key=str) == brute(rows)
+
+
+def test_units_are_bounded_in_text(spark, monkeypatch):
+    """Copies that are next to nothing when stored are units by their text, and every job cuts them alike."""
+    monkeypatch.setattr(suffix, "UNIT_BYTES", 20_000)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(2)] + ["", "é" * 15_000]
+    rows = [(i, texts[3 if i == 150 else 2 if i % 50 == 7 else i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    corpus = suffix.Corpus.store(df.selectExpr("doc_id AS __id", "text AS __text"))
+    files = corpus.files(spark).toArrow().to_batches()
+    assert len(corpus.paths) == 1 and len([u for b in files for u in corpus.units([b])]) >= 45
+    units = [(u, list(suffix.documents(r))) for b in files for u, r in corpus.units([b])]
+    assert len({u for u, _ in units}) == len(units) and [d for _, own in units for d, _ in own] == list(range(300))
+    sizes = [[len(raw) for _, raw in own if raw] for _, own in units]
+    assert all(sum(s) <= 20_000 or s == [30_000] for s in sizes)
+    again = [(u, [d for x in r for d in x.column("__id").to_pylist()]) for b in files for u, r in corpus.units([b], ("__text", "__id"))]
+    assert again == [(u, [d for d, _ in own]) for u, own in units]
+    assert sorted((tuple(r) for r in suffix.removals(df).collect()), key=str) == brute(rows)
