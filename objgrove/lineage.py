@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Rows that one task sorts or groups, so that its memory does not grow with their number.
+TASK_ROWS = 1_000_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or, on one machine only, a local folder where it is unset."""
@@ -33,3 +36,8 @@ def shared_root(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to tasks by its number of rows. Partitions of a given number are not merged by their compressed size."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)

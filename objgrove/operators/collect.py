@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objgrove.lineage import cut
+from objgrove.lineage import cut, dealt
 from objgrove.operators.graph import reachable
 
 
@@ -15,10 +15,20 @@ def live_set(objects: DataFrame, edges: DataFrame, refs: DataFrame, blobs: DataF
     return reachable(objects, edges, roots, blobs, strategy).where("present").select("repo_id", "oid").distinct()
 
 
+def expired(now: Column, grace_seconds: int) -> Column:
+    """Whether an object is older than the grace window, strictly."""
+    return F.col("created_at") < now - F.make_dt_interval(secs=F.lit(grace_seconds))
+
+
 def victims(objects: DataFrame, live: DataFrame, now: Column, grace_seconds: int) -> DataFrame:
     """Objects that are not live and older than the grace window, strictly."""
-    old = F.col("created_at") < now - F.make_dt_interval(secs=F.lit(grace_seconds))
-    return objects.where(old).join(live.select("repo_id", "oid"), ["repo_id", "oid"], "left_anti")
+    return _without(objects.where(expired(now, grace_seconds)), live)
+
+
+def _without(objects: DataFrame, others: DataFrame) -> DataFrame:
+    """The objects that are not among others. An anti-join would be pushed below a union, with a copy of both sides a branch."""
+    marked = objects.join(others.select("repo_id", "oid", F.lit(True).alias("__other")), ["repo_id", "oid"], "left")
+    return marked.where("__other is null").select(*objects.columns)
 
 
 def victim_batches(dead: DataFrame, batch_limit: int) -> DataFrame:
@@ -29,8 +39,9 @@ def victim_batches(dead: DataFrame, batch_limit: int) -> DataFrame:
 
 def sweep(objects: DataFrame, edges: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(objects, edges) without the dead, and without edges whose parent is gone."""
-    kept = objects.join(dead.select("repo_id", "oid"), ["repo_id", "oid"], "left_anti")
-    return kept, edges.join(kept.select("repo_id", F.col("oid").alias("parent")), ["repo_id", "parent"], "left_semi").select(*edges.columns)
+    kept = _without(objects, dead)
+    parents = kept.select("repo_id", F.col("oid").alias("parent")).distinct()
+    return kept, dealt(edges, edges.count(), "repo_id", "parent").join(parents, ["repo_id", "parent"]).select(*edges.columns)
 
 
 def due(repos: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objgrove import schema as S
-from objgrove.lineage import cut
+from objgrove.lineage import cut, dealt
 
 #: A repository with so many edges at most is walked inside one task; larger ones level by level across the cluster.
 GROUPED_EDGES = 200_000
@@ -29,30 +30,40 @@ def closure(edges: DataFrame, roots: DataFrame, kinds=None, strategy: str = "aut
     e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
     e = e.select("repo_id", "parent", "child")
     if strategy == "frontier":
-        return _frontier(e, roots)
+        return _frontier(e, roots, e.count())
     if strategy == "grouped":
         return _grouped(e, roots)
-    sizes = e.join(roots.select("repo_id").distinct(), "repo_id", "left_semi").groupBy("repo_id").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > GROUPED_EDGES).select("repo_id"))
-    if large.isEmpty():
+    # counts first, so that no edge is dealt by its repository, which may be the only one
+    sizes = e.groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") > GROUPED_EDGES)
+    large = cut(sizes.join(roots.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "n"))
+    rows = large.agg(F.sum("n")).first()[0]
+    if rows is None:
         return _grouped(e, roots)
+    large = F.broadcast(large.select("repo_id"))  # a row for GROUPED_EDGES edges at least
     big, small = ([d.join(large, "repo_id", how) for d in (e, roots)] for how in ("left_semi", "left_anti"))
-    return _frontier(*big).unionByName(_grouped(*small))
+    found = _frontier(*big, rows)
+    return found if small[1].isEmpty() else found.unionByName(_grouped(*small))
 
 
-def _frontier(e: DataFrame, roots: DataFrame) -> DataFrame:
+def _frontier(e: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
+    """All levels join one copy of the edges, which keeps its dealing and order, so edges are shuffled and sorted once a walk."""
     labels = [c for c in roots.columns if c not in ("repo_id", "oid")]
     key = ["repo_id", "oid", *labels]
-    frontier = cut(roots.select(*key).distinct())
-    seen, pieces = frontier, 1
-    while True:
-        step = frontier.join(e, (frontier["oid"] == e["parent"]) & frontier["repo_id"].eqNullSafe(e["repo_id"])).select(frontier["repo_id"], F.col("child").alias("oid"), *[frontier[c] for c in labels])
-        frontier = cut(step.distinct().join(seen, key, "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen, pieces = seen.unionByName(frontier), pieces + 1
-        if pieces > MERGE_LEVELS:
-            seen, pieces = cut(seen), 1
+    e = dealt(e, rows, "repo_id", "parent").sortWithinPartitions("repo_id", "parent").persist(StorageLevel.DISK_ONLY)
+    try:
+        e.count()  # a copy that is not there yet has no known dealing, and the first level would shuffle it
+        frontier = cut(roots.select(*key).distinct())
+        seen, pieces = frontier, 1
+        while True:
+            step = frontier.join(e, (frontier["repo_id"] == e["repo_id"]) & (frontier["oid"] == e["parent"])).select(frontier["repo_id"], F.col("child").alias("oid"), *[frontier[c] for c in labels])
+            frontier = cut(step.distinct().join(seen, key, "left_anti"))
+            if frontier.isEmpty():
+                return seen
+            seen, pieces = seen.unionByName(frontier), pieces + 1
+            if pieces > MERGE_LEVELS:
+                seen, pieces = cut(seen), 1
+    finally:
+        e.unpersist()
 
 
 def _grouped(e: DataFrame, roots: DataFrame) -> DataFrame:

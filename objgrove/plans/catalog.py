@@ -348,10 +348,10 @@ _DEAD = f"dead AS (SELECT oid FROM obj WHERE created_at < TIMESTAMP '{_NOW}' - I
 
 
 def _collection(spark, sf_dir):
-    o, e = C.sales_objects(spark, sf_dir), C.sales_edges(spark, sf_dir)
+    o, e, steps = C.sales_objects(spark, sf_dir), C.sales_edges(spark, sf_dir), C.sales_edges(spark, sf_dir, once=False)
     refs = _nodes(spark, _REFS).select("repo_id", F.col("oid").alias("name"), "oid", F.lit(None).cast("string").alias("peeled_oid"), F.lit(None).cast("string").alias("symref_target"))
     none = e.limit(0).select("repo_id", F.col("parent").alias("tree"), F.col("child").alias("oid"))
-    return o, e, collect.live_set(o, e, refs, none), F.lit(_NOW).cast("timestamp")
+    return o, e, collect.live_set(o, steps, refs, none), F.lit(_NOW).cast("timestamp")
 
 
 @query(_sales(_GC, "SELECT oid FROM live JOIN obj USING (oid)"))

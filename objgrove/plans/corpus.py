@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from objgrove import schema as S
 from objgrove.functions.objects import object_id
-from objgrove.lineage import cut
+from objgrove.lineage import cut, dealt
 
 WHO = "Grove <grove@example.org> 1700000000 +0000"
 CREATED = "2024-01-01 00:00:00"
@@ -97,15 +97,18 @@ def node(kind: str, key) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def sales_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo_id, parent, child, kind); an order that names a part twice has one edge."""
+def sales_edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """(repo_id, parent, child, kind); an order that names a part twice has one edge, or two where a walk does not mind."""
     t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").select("l_orderkey", "l_partkey")
+    if once:
+        lines = dealt(lines, lines.count(), *lines.columns).distinct()
     edge = lambda df, p, c, k: df.select(F.lit(1).cast("long").alias("repo_id"), p.alias("parent"), c.alias("child"), F.lit(k).cast("short").alias("kind"))
     return (
         edge(t("nation"), node("region", "n_regionkey"), node("nation", "n_nationkey"), 1)
         .unionByName(edge(t("customer"), node("nation", "c_nationkey"), node("cust", "c_custkey"), 2))
         .unionByName(edge(t("orders"), node("cust", "o_custkey"), node("order", "o_orderkey"), 3))
-        .unionByName(edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), node("order", "l_orderkey"), node("part", "l_partkey"), 5))
+        .unionByName(edge(lines, node("order", "l_orderkey"), node("part", "l_partkey"), 5))
     )
 
 

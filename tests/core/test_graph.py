@@ -60,6 +60,40 @@ def test_closures(spark, history, strategy):
     assert graph.closure(e, df.limit(0), strategy=strategy).collect() == []
 
 
+@pytest.mark.parametrize("strategy", ["auto", "frontier"])
+def test_walks_read_edges_twice_at_most(spark, monkeypatch, strategy):
+    """Once to count them and once to deal them, however many levels a walk has."""
+    monkeypatch.setattr(graph, "GROUPED_EDGES", 5)
+    read, chain = spark.sparkContext.accumulator(0), [(0, f"c{i}", f"c{i + 1}", 1) for i in range(12)]
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame(chain, EDGES).mapInArrow(seen, EDGES)
+    got = graph.closure(e, spark.createDataFrame([(0, "c2")], "repo_id long, oid string"), strategy=strategy)
+    assert sorted(r["oid"] for r in got.collect()) == sorted(f"c{i}" for i in range(2, 13))
+    assert read.value <= 2 * len(chain)
+
+
+def test_sweeps_of_unions_are_one_join_each(spark):
+    """Anti-joins and semi-joins would be pushed below the unions: a plan of joins by branches, each in few tasks."""
+    objects = edges = None
+    for i in range(5):
+        o = spark.range(i * 10, i * 10 + 10).select(F.lit(1).cast("long").alias("repo_id"), F.col("id").cast("string").alias("oid"), F.timestamp_seconds("id").alias("created_at"))
+        e = o.select("repo_id", F.col("oid").alias("parent"), F.lit("x").alias("child"), F.lit(3).cast("short").alias("kind"))
+        objects, edges = (o, e) if objects is None else (objects.unionByName(o), edges.unionByName(e))
+    edges = edges.unionByName(edges.where("parent = '7'")).unionByName(edges.limit(1).withColumn("parent", F.lit("gone")))
+    objects = objects.unionByName(objects.where("oid = '7'"))
+    live = objects.where("oid in ('3', '7', '7')").select("repo_id", "oid")
+    dead = collect.victims(objects, live, F.timestamp_seconds(F.lit(20)), 0)
+    kept, kept_edges = collect.sweep(objects, edges, dead)
+    stay = ["3", "7", "7", *map(str, range(20, 50))]
+    assert sorted(r["oid"] for r in kept.collect()) == sorted(stay) == sorted(r["parent"] for r in kept_edges.collect())
+    assert kept_edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
 def test_auto_splits_by_size(spark, history, monkeypatch):
     monkeypatch.setattr(graph, "GROUPED_EDGES", len([x for x in history if x[0] == 0]) - 1)
     e, roots = spark.createDataFrame(history, EDGES), [(r, "c39") for r in range(3)]
