@@ -38,7 +38,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
     )
     r = repos(spark, sf_dir).select(F.col("id").alias("repo_id"), F.col("name").alias("source"))
-    return d.join(r, "source").select("repo_id", "lang", "dir", "name", object_id(F.lit("blob"), "content").alias("oid"), "content")
+    # a row a source, so that texts stay where they are read
+    return d.join(F.broadcast(r), "source").select("repo_id", "lang", "dir", "name", object_id(F.lit("blob"), "content").alias("oid"), "content")
 
 
 def _trees(entries: DataFrame, keys: list[str], mode: str, name: str) -> DataFrame:
@@ -64,10 +65,12 @@ def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"blob": b, "leaf": leaf, "lang": lang, "root": root, "commit": commit, "tag": tag}
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def objects(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     parts = levels(spark, sf_dir)
     out = None
     for name, code in (("blob", S.BLOB), ("leaf", S.TREE), ("lang", S.TREE), ("root", S.TREE), ("commit", S.COMMIT), ("tag", S.TAG)):
+        if code == S.BLOB and not texts:
+            continue
         p = parts[name].select("repo_id", "oid", F.lit(code).cast("short").alias("type"), F.octet_length("content").alias("size"), "content", F.lit(CREATED).cast("timestamp").alias("created_at"))
         p = p.dropDuplicates(["repo_id", "oid"])
         out = p if out is None else out.unionByName(p)
@@ -76,7 +79,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees, commits and tags."""
-    return objects(spark, sf_dir).where(F.col("type") != S.BLOB)
+    return objects(spark, sf_dir, texts=False)  # a filter would come after the deduplication, which shuffles texts
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,16 @@ def test_sweeps_of_unions_are_one_join_each(spark):
     assert kept_edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
 
 
+def test_trees_take_no_texts_along(spark, sf):
+    """Texts are hashed where they are read: no shuffle of trees, commits and tags has them."""
+    from objgrove.plans import corpus
+
+    plan = corpus.without_blobs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan
+    blobs = corpus.blobs(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in blobs and "SortMergeJoin" not in blobs
+
+
 def test_auto_splits_by_size(spark, history, monkeypatch):
     monkeypatch.setattr(graph, "GROUPED_EDGES", len([x for x in history if x[0] == 0]) - 1)
     e, roots = spark.createDataFrame(history, EDGES), [(r, "c39") for r in range(3)]
