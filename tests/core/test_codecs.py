@@ -228,3 +228,20 @@ def test_round_trip_has_blobs(spark, sf, monkeypatch):
     ids = lambda df: sorted(tuple(r) for r in df.select("repo_id", "type", "oid", "content").collect())
     assert ids(back[0]) == ids(corpus.objects(spark, sf)) and back[0].where(f"type = {S.BLOB}").count()
     assert {r["type"] for r in rows} == {"commit", "tree", "tag"}
+
+
+def test_packs_and_parsed_batches_are_bounded_by_contents(spark):
+    """Contents that deflate to little close a pack too, and a pack's objects leave in small batches, however many packs come at once."""
+    import pyarrow as pa
+
+    zeros = [("blob", b"%d" % i + bytes(1 << 20)) for i in range(24)]
+    one = packs.write_pack(zeros)
+    came = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([one, b"PACK"], pa.binary()), pa.nulls(2)], ["repo_id", "pack", "bases"])
+    out = list(packs._read(iter([came])))
+    assert max(b.nbytes for b in out) < 5 << 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["repo_id"], r["ordinal"], r["content"]) for r in rows[:-1]] == [(1, i, c) for i, (_, c) in enumerate(zeros)] and rows[-1]["error"] == "bad-magic"
+    o = spark.createDataFrame([(1, packs.object_id(k, c), 3, bytearray(c)) for k, c in zeros], "repo_id long, oid string, type short, content binary")
+    made = packs.packed_in_parts(o.coalesce(1), 1 << 20).collect()
+    assert max(sum(len(c) for _, c in packs.read_pack(bytes(r["pack"]))) for r in made) <= packs.INFLATED << 20
+    assert sorted(c for r in made for _, c in packs.read_pack(bytes(r["pack"]))) == sorted(c for _, c in zeros)
