@@ -238,7 +238,7 @@ def ready_to_give_up(spark, sf_dir):
 SELECT tip, bool_and(obj.oid IS NOT NULL) AS connected, count(*) FILTER (WHERE obj.oid IS NULL) AS missing FROM c LEFT JOIN obj USING (oid) GROUP BY tip""")
 def connectivity(spark, sf_dir):
     tips = C.table(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("repo_id"), C.node("cust", "c_custkey").alias("oid"))
-    return graph.connected(C.sales_objects(spark, sf_dir), C.sales_edges(spark, sf_dir), tips).select("tip", "connected", "missing")
+    return graph.connected(C.sales_objects(spark, sf_dir), C.sales_edges(spark, sf_dir, once=False), tips).select("tip", "connected", "missing")
 
 
 @query("SELECT conv_id || ':' || turn AS tag, conv_id || ':0' AS peeled FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE turn > 0")
