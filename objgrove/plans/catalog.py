@@ -383,11 +383,10 @@ def gc_grace_boundary(spark, sf_dir):
     """The newest order's time is now, so it is not older than a window of 0 seconds."""
     o, _, live, _ = _collection(spark, sf_dir)
     top = F.lit(C.table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]).cast("timestamp")
-    out = None
-    for g in (0, 86_400, 31_536_000, 2_000_000_000):
-        n = collect.victims(o, live, top, g).agg(F.lit(g).alias("grace"), F.count("*").alias("victims"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    graces = (0, 86_400, 31_536_000, 2_000_000_000)
+    # the shortest window's victims are all windows', so objects meet the live set once
+    n = collect.victims(o, live, top, min(graces)).agg(*[F.count_if(collect.expired(top, g)).alias(f"g{g}") for g in graces])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(g).alias("grace"), F.col(f"g{g}").alias("victims")) for g in graces])))
 
 
 _ACTIVITY = "WITH a AS (SELECT user_id AS repo_id, max(ts) FILTER (WHERE event_type = 'purchase') AS last_pushed_at, max(ts) FILTER (WHERE event_type = 'view') AS last_gc_at FROM events GROUP BY user_id), due AS (SELECT * FROM a WHERE last_pushed_at IS NOT NULL AND (last_gc_at IS NULL OR last_pushed_at > last_gc_at))"

@@ -249,3 +249,11 @@ def test_snapshots_and_upserts(spark):
     assert sorted((r["oid"], r["part"], bytes(r["bytes"])) for r in chunks) == [("a", 0, b"abc"), ("a", 1, b"def"), ("a", 2, b"g"), ("b", 0, b"")]
     bad = spark.createDataFrame([(1, "n", None, None, None), (1, "n", oid(1), None, "x"), (1, "n", oid(1), None, None)], S.REFS).select(S.constraint_errors("git_ref").alias("e")).collect()
     assert [r["e"] for r in bad] == ["oid xor symref_target", "oid xor symref_target", None]
+
+
+def test_grace_windows_meet_the_live_set_once(spark, sf):
+    from objgrove.plans import catalog
+
+    df = catalog.gc_grace_boundary(spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [r["grace"] for r in df.collect()] == [0, 86_400, 31_536_000, 2_000_000_000]
